@@ -9,6 +9,7 @@ empty ledger. Columns other than those asked for are carried by the caller, not
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 
 from tidewire.llm.common import byte_texts, map_rows, schema_of, values
 
+#: A letter of ASCII, or any character beyond it.
+LETTER = re.compile(rb"[A-Za-z\x80-\xff]").search
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_alpha_words", "n_upper", "n_letters")
 #: Rule -> the bit that its failure sets. Bits are never given anew: a policy of an old version keeps its meaning.
 BITS = {"few_words": 0, "repeated_windows": 1, "symbols": 2, "dup_lines": 3, "word_length": 4, "alpha_words": 5, "shouting": 6, "many_words": 7}
@@ -59,7 +62,7 @@ def measure(text: bytes) -> tuple[int, ...]:
     lower = int(np.count_nonzero((flat >= 97) & (flat <= 122)))
     ids: dict[bytes, int] = {}
     codes = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
-    alpha = np.fromiter((any(c >= 128 or 65 <= c <= 90 or 97 <= c <= 122 for c in w[:8]) for w in ids), bool, len(ids))
+    alpha = np.fromiter((LETTER(w) is not None for w in ids), bool, len(ids))
     return len(words), chars, symbols, lines, again, repeat_words(codes, len(ids)), int(alpha[codes].sum()), upper, upper + lower
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontam, jaccard_join, packing, pii, quality, sharding, urlfilter
+from tidewire.llm import decontam, jaccard_join, lm_score, packing, pii, quality, sharding, substring, suffix, urlfilter
 from tidewire.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(documents(spark, sf_dir))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -49,7 +53,16 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, urlfilter.page_edges(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.near_passages(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
@@ -57,9 +70,79 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filters": op8_url_filters,
+    "op9_suffix_array": op9_suffix_array,
+    "op10_substring": op10_substring,
 }
 
-SHINGLE_WORDS = r"list_filter(regexp_split_to_array({text}, '[ \t-\r]+'), x -> x <> '')"
-
-#: DuckDB SQL over the same tables.
-ORACLES: dict[str, str] = {}
+WORD = r"[^\x20\x09-\x0D]+"
+LOWER_TEXT = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def shingle_list(words: str, width: int) -> str:
+    return f"[array_to_string({words}[i:i + {width - 1}], ' ') for i in range(1, greatest(len({words}) - {width - 2}, 2)) if len({words}) > 0]"
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM documents),
+ds AS (SELECT doc_id, k, {shingle_list("w", 5)} AS s FROM d),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM benchmark),
+bs AS (SELECT item_id, {shingle_list("w", 5)} AS s FROM b),
+bn AS (SELECT item_id, len(s) AS n, unnest(s) AS h FROM bs WHERE len(s) > 0),
+bw AS (SELECT item_id, n, h, count(*) AS w FROM bn GROUP BY ALL),
+p AS (SELECT doc_id, k, len(s) AS m, unnest(s) AS h, unnest(range(len(s))) AS pos FROM ds),
+hit AS (SELECT doc_id, k, m, pos, p.h, item_id, n, bw.w FROM p JOIN bw USING (h)),
+pair AS (SELECT x.doc_id, x.k, x.item_id, x.n, x.m, x.pos AS start, y.h, least(count(*), any_value(y.w)) AS c
+  FROM hit x JOIN hit y ON x.k = y.k AND x.item_id = y.item_id AND y.pos BETWEEN x.pos AND x.pos + x.n - 1 GROUP BY ALL),
+win AS (SELECT doc_id, item_id, n, start, sum(c) / (n + least(n, m - start) - sum(c))::DOUBLE AS s FROM pair GROUP BY doc_id, k, item_id, n, m, start),
+best AS (SELECT doc_id, item_id, n, round(s, 6) AS s, start, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(s, 6) DESC, start) AS r FROM win WHERE s >= 0.8)
+SELECT doc_id, item_id, start::BIGINT AS start, n::BIGINT AS n_shingles, s AS similarity FROM best WHERE r = 1
+"""
+
+OP5_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER_TEXT}, '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct({shingle_list("w", 4)}) AS s FROM d),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+often AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n AS an, y.n AS bn, count(*) AS c FROM t x JOIN t y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM often WHERE 100 * c >= 85 * (an + bn - c)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM s UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.r)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(r) FROM reach WHERE reach.doc_id = s.doc_id) AS component_id FROM s
+"""
+
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+  [l for l in string_split(coalesce(text, ''), chr(10)) if regexp_matches(l, '{WORD}')] AS lines FROM documents),
+u AS (SELECT k, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+t AS (SELECT k, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM u WINDOW o AS (PARTITION BY k ORDER BY i)),
+f AS (SELECT k, i, (z IS NOT NULL AND count(*) OVER (PARTITION BY k, x, y, z) > 1)::INT AS f FROM t),
+g AS (SELECT k, i, greatest(f, coalesce(lag(f) OVER o, 0), coalesce(lag(f, 2) OVER o, 0)) AS g FROM f WINDOW o AS (PARTITION BY k ORDER BY i)),
+r AS (SELECT k, sum(g) AS rep FROM g GROUP BY k),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+  coalesce(rep, 0)::BIGINT AS n_repeat_words, len([x for x in w if regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')]) AS alpha,
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters FROM d LEFT JOIN r USING (k)),
+b AS (SELECT *, n_words < 50 AS few, 100 * n_repeat_words > 50 * n_words AS rep, 100 * n_symbols > 10 * n_words AS sym, 100 * n_dup_lines > 50 * n_lines AS dup,
+  10 * word_chars < 20 * n_words OR 10 * word_chars > 120 * n_words AS len, 100 * alpha < 70 * n_words AS al, 100 * up > 50 * letters AS sh, n_words > 1000000 AS many FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few OR rep AS base_failed, NOT (few OR rep OR sym OR dup OR len OR al OR sh) AS kept,
+  (few::BIGINT + 2 * rep::BIGINT + 4 * sym::BIGINT + 8 * dup::BIGINT + 16 * len::BIGINT + 32 * al::BIGINT + 64 * sh::BIGINT + 128 * many::BIGINT)::BIGINT AS fail_bits FROM b
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+h AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
+  array_to_string([q for q in string_split(regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1), '&') if q <> '' and not regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')], '&') AS query FROM h),
+n AS (SELECT page_id, host, path, host || regexp_replace(path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS node,
+  coalesce(nullif(regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1), ''),
+    nullif(regexp_extract(html, '(?is)<link[^>]*?href\s*=\s*["'']?([^"''\s>]+)[^>]*rel\s*=\s*["'']?canonical', 1), '')) AS target FROM p),
+f AS (SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS v
+  FROM n JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY page_id),
+e AS (SELECT node AS a, regexp_replace(regexp_replace(target, '^[^:]*://', ''), '[?#/]+$', '') AS b FROM n WHERE target LIKE '%://%'),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+bad(node) AS (SELECT node FROM n JOIN f USING (page_id) WHERE v = 'block' UNION SELECT b FROM bad JOIN both_ways ON both_ways.a = bad.node)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN EXISTS (SELECT 1 FROM bad WHERE bad.node = n.node) AND n.node IN (SELECT a FROM both_ways) THEN 'block' ELSE 'allow' END) AS verdict
+FROM n LEFT JOIN f USING (page_id)
+"""
+
+#: DuckDB SQL over the same tables. Tests hold the others against brute-force versions.
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op5_jaccard_join": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_url_filters": OP8_SQL}
