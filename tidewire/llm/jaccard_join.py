@@ -4,8 +4,10 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
 all pairs of a group of copies:
 
 1. Equal sets are one node.
-2. A set of n shingles needs only its first n - ceil(t n) + 1 shingles, in one order that all sets share, in the index.
-   Shingles that a sample of documents shows to be frequent come last in that order (this moves work, never results).
+2. A set of n shingles needs only its first n - ceil(t n) + l shingles, in one order that all sets share, in the index:
+   two sets that link have min(l, l') of these in common. l grows with n, so sets that share a passage only are no
+   candidates. Shingles that a sample of documents shows to be frequent come last in that order (this moves work, never
+   results).
 3. Index lists are cut into blocks by set size. In each block every set is compared with one pivot set only.
 4. Verified links make classes. A list whose sets all lie in one class is skipped whole. In the others, classes are
    compared by their centres: with the exact distances of members to their centre, the triangle inequality of the
@@ -22,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,8 +80,17 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+#: l = 1 + n // SHARE.
+SHARE = 32
+
+
 def prefix_size(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1 if n else 0
+    return min(n, n - (percent * n + 99) // 100 + 1 + n // SHARE) if n else 0
+
+
+def needed(n: Column, m: Column) -> Column:
+    """Indexed shingles that linked sets of n and m have in common at least."""
+    return F.floor(F.least(n, m) / SHARE) + 1
 
 
 def frequent_shingles(docs: DataFrame, width: int, id_column: str, text_column: str) -> np.ndarray:
@@ -140,7 +151,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int, id_column: str, text_
 
         return step
 
-    return map_rows(rows, ["text", "nid", "fp"], make, schema_of("nid bigint, shingles binary")).dropDuplicates(["nid"])
+    return map_rows(rows, ["text", "nid", "fp"], make, schema_of("nid bigint, shingles binary"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -165,15 +176,19 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): the smallest id that a document reaches by links, itself included."""
     order = frequent_shingles(docs, width, id_column, text_column)
+    docs = docs.select(id_column, text_column)
     signed = materialize(signatures(docs, width, percent, order, id_column, text_column).withColumnRenamed(id_column, "id"), "signatures")
+    if not signed.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
+        docs = docs.dropDuplicates([id_column, text_column])  # so a set is computed anew once
     nodes = signed.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     postings = nodes.select("nid", "n", block.alias("block"), F.posexplode("tokens").alias("pos", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     lists = materialize(postings.join(shared, "token"), "lists")  # from here on, only shingles that two sets or more share
-    pivots = lists.groupBy("token", "block").agg(F.min("nid").alias("a"))
-    stars = lists.join(pivots, ["token", "block"]).filter("nid <> a").select("a", F.col("nid").alias("b")).distinct()
+    pivots = lists.groupBy("token", "block").agg(F.min(F.struct("nid", "n")).alias("p"))
+    stars = lists.join(pivots, ["token", "block"]).filter("nid <> p.nid").groupBy(F.col("p.nid").alias("a"), F.col("nid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("p.n").alias("m"))
+    stars = stars.filter(F.col("c") >= needed(F.col("n"), F.col("m"))).select("a", "b")
     checked = check(docs, nodes, stars, width, id_column, text_column, "stars")
     links = checked.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
     classes = materialize(connected_components(links, "a", "b").select(F.col("node").alias("nid"), F.col("component").alias("centre")), "classes")
@@ -205,8 +220,8 @@ def cross_links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, classes: Da
     sizes = (F.col("a1") * 100 >= F.col("b0") * percent) & (F.col("b1") * 100 >= F.col("a0") * percent)
     # At the first shingle that two sets share in the order, no more than the shorter rest can be common.
     places = F.least("ar", "br") * (100 + percent) >= (F.col("a0") + F.col("b0")) * percent
-    pairs = x.join(y, "token").filter((F.col("a") < F.col("b")) & sizes & places).select("a", "b").distinct()
-    pairs = materialize(pairs, "class-pairs")
+    pairs = x.join(y, "token").filter((F.col("a") < F.col("b")) & sizes).groupBy("a", "b").agg(F.count("*").alias("c"), F.max(places).alias("fits"), F.min("a0").alias("n"), F.min("b0").alias("m"))
+    pairs = materialize(pairs.filter(F.col("fits") & (F.col("c") >= needed(F.col("n"), F.col("m")))).select("a", "b"), "class-pairs")
     if pairs.isEmpty():
         return pairs
     # Exact distances from the members of these classes to their centres.
@@ -226,7 +241,9 @@ def cross_links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, classes: Da
     px = placed.select("token", F.col("centre").alias("a"), F.col("nid").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"))
     py = placed.select("token", F.col("centre").alias("b"), F.col("nid").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"))
     need = (F.col("xn") + F.col("yn")) * percent
-    fits = (F.col("xn") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("xn") * percent) & (F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) * (100 + percent) >= need)
-    deep = px.join(near, "a").join(py, ["token", "b"]).filter(fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    sizes = (F.col("xn") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("xn") * percent)
+    places = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) * (100 + percent) >= need
+    deep = px.join(near, "a").join(py, ["token", "b"]).filter(sizes).groupBy("x", "y", "xn", "yn").agg(F.count("*").alias("c"), F.max(places).alias("fits"))
+    deep = deep.filter(F.col("fits") & (F.col("c") >= needed(F.col("xn"), F.col("yn")))).select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = check(docs, nodes, deep, width, id_column, text_column, "members")
     return direct.unionByName(found.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"))
