@@ -122,10 +122,11 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_column:
     cut = with_shingles(cut).select("d", "th", "start", "n", F.slice("sh", F.col("start") + 1, F.col("n")).alias("sh"))
     prints = fingerprints(cut, "window-prints")
     index = fingerprints(item, "item-prints").withColumnRenamed("fp", "ifp")
-    index = index.select("item_id", "n", "ifp", F.posexplode("ifp").alias("block", "v")).select("item_id", "n", "ifp", "block", F.explode(F.transform(near_values(), lambda m: m.bitwiseXOR(F.col("v")))).alias("v"))
+    blocks = index.select("item_id", "n", F.posexplode("ifp").alias("block", "v")).select("item_id", "n", "block", F.explode(F.transform(near_values(), lambda m: m.bitwiseXOR(F.col("v")))).alias("v"))
+    blocks = materialize(blocks, "item-blocks")  # written, so that the planner knows its size and doesn't broadcast it
     probes = prints.select("d", "th", "start", "n", "fp", F.posexplode("fp").alias("block", "v"))
     distance = F.aggregate(F.zip_with("fp", "ifp", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    near = probes.join(index, ["block", "v", "n"]).select("d", "th", "start", "item_id", "fp", "ifp").distinct().withColumn("hamming", distance).filter(F.col("hamming") <= RADIUS)
+    near = probes.join(blocks, ["block", "v", "n"]).select("d", "th", "start", "n", "item_id", "fp").distinct().join(index, ["item_id", "n"]).withColumn("hamming", distance).filter(F.col("hamming") <= RADIUS)
     found = best.withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(near.select("d", "th", "start", "item_id", "hamming"), ["d", "th", "start", "item_id"])
     similarity = F.col("common") / (F.col("n") + F.col("size") - F.col("common"))
     return found.select("doc_id", "th", "item_id", "start", F.col("n").alias("n_shingles"), similarity.alias("similarity"), "hamming").filter(F.col("similarity") >= share)
