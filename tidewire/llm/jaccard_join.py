@@ -8,6 +8,8 @@ all pairs of a group of copies:
    two sets that link have min(l, l') of these in common. l grows with n, so sets that share a passage only are no
    candidates. Shingles that a sample of documents shows to be frequent come last in that order (this moves work, never
    results).
+   Lists of more than LONG_LIST sets are passed over, by all sets that have so few of their indexed shingles in long
+   lists that they must share one in a short list with any set they link with.
 3. Index lists are cut into blocks by set size. In each block every set is compared with one pivot set only.
 4. Verified links make classes. A list whose sets all lie in one class is skipped whole. In the others, classes are
    compared by their centres: with the exact distances of members to their centre, the triangle inequality of the
@@ -32,7 +34,9 @@ from tidewire.llm.common import bounded_broadcast, byte_texts, map_rows, materia
 from tidewire.llm.components import connected_components
 
 #: Documents that the order's sample holds, and the frequent shingles that it yields (8 bytes each in every task).
-SAMPLE_DOCS, FREQUENT, FREQUENT_IN = 20_000, 200_000, 3
+SAMPLE_DOCS, FREQUENT, FREQUENT_IN = 50_000, 500_000, 3
+#: Sets in an index list beyond which the list is passed over for sets that share enough other shingles.
+LONG_LIST = 16
 #: Rows below which a table of ids is broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -93,10 +97,16 @@ def needed(n: Column, m: Column) -> Column:
     return F.floor(F.least(n, m) / SHARE) + 1
 
 
-def frequent_shingles(docs: DataFrame, width: int, id_column: str, text_column: str) -> np.ndarray:
-    """Shingles that many documents of a bounded sample hold, the least frequent first."""
+def left_needed(n: str, m: str, k: str, j: str, hot: str) -> Column:
+    """needed(), less the shared shingles that may lie in long lists, unless both sets keep those."""
+    whole = needed(F.col(n), F.col(m))
+    return F.when(F.col(hot), whole).otherwise(F.greatest(F.lit(1), whole - F.least(k, j)))
+
+
+def frequent_shingles(docs: DataFrame, width: int, text_column: str) -> np.ndarray:
+    """Shingles that many texts of a bounded sample hold, the least frequent first."""
     n = docs.count()
-    part = docs.filter(F.pmod(F.xxhash64(id_column), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 30))))
+    part = docs.filter(F.pmod(F.xxhash64(text_column), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 30)))).select(text_column).distinct()
 
     def make():
         hashes = WordHashes()
@@ -175,7 +185,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): the smallest id that a document reaches by links, itself included."""
-    order = frequent_shingles(docs, width, id_column, text_column)
+    order = frequent_shingles(docs, width, text_column)
     docs = docs.select(id_column, text_column)
     signed = materialize(signatures(docs, width, percent, order, id_column, text_column).withColumnRenamed(id_column, "id"), "signatures")
     if not signed.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
@@ -184,7 +194,7 @@ def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     postings = nodes.select("nid", "n", block.alias("block"), F.posexplode("tokens").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    shared = postings.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
     lists = materialize(postings.join(shared, "token"), "lists")  # from here on, only shingles that two sets or more share
     pivots = lists.groupBy("token", "block").agg(F.min(F.struct("nid", "n")).alias("p"))
     stars = lists.join(pivots, ["token", "block"]).filter("nid <> p.nid").groupBy(F.col("p.nid").alias("a"), F.col("nid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("p.n").alias("m"))
@@ -211,17 +221,22 @@ def check(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, id_co
 
 def cross_links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, classes: DataFrame, percent: int, width: int, id_column: str, text_column: str) -> DataFrame:
     """The links (a, b) between sets of different classes."""
-    placed = lists.select("token", "nid", "n", "pos").join(classes, "nid", "left").withColumn("centre", F.coalesce("centre", "nid"))
-    by_class = placed.groupBy("token", "centre").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    mixed = by_class.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+    long = F.col("c") > LONG_LIST
+    in_long = lists.filter(long).groupBy("nid", "n").agg(F.count("*").alias("k"))
+    # Sets as small as a partner may be need this many in common; a set with as many in long lists keeps those lists.
+    in_long = in_long.select("nid", "k", (F.col("k") >= F.floor(F.col("n") * percent / 100 / SHARE) + 1).alias("hot"))
+    placed = lists.select("token", "nid", "n", "pos", "c").join(classes, "nid", "left").withColumn("centre", F.coalesce("centre", "nid")).join(in_long, "nid", "left").fillna(0, ["k"]).fillna(False, ["hot"])
+    placed = materialize(placed.filter(~long | F.col("hot")), "placed")
+    by_class = placed.groupBy("token", "centre").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("k").alias("k"), F.min("hot").alias("hot"))
+    mixed = by_class.groupBy("token").agg(F.count("*").alias("t")).filter("t > 1").select("token")
     by_class = materialize(by_class.join(mixed, "token"), "mixed")
-    x = by_class.select("token", F.col("centre").alias("a"), F.col("n0").alias("a0"), F.col("n1").alias("a1"), F.col("rest").alias("ar"))
-    y = by_class.select("token", F.col("centre").alias("b"), F.col("n0").alias("b0"), F.col("n1").alias("b1"), F.col("rest").alias("br"))
+    x = by_class.select("token", F.col("centre").alias("a"), F.col("n0").alias("a0"), F.col("n1").alias("a1"), F.col("rest").alias("ar"), F.col("k").alias("ak"), F.col("hot").alias("ah"))
+    y = by_class.select("token", F.col("centre").alias("b"), F.col("n0").alias("b0"), F.col("n1").alias("b1"), F.col("rest").alias("br"), F.col("k").alias("bk"), F.col("hot").alias("bh"))
     sizes = (F.col("a1") * 100 >= F.col("b0") * percent) & (F.col("b1") * 100 >= F.col("a0") * percent)
     # At the first shingle that two sets share in the order, no more than the shorter rest can be common.
     places = F.least("ar", "br") * (100 + percent) >= (F.col("a0") + F.col("b0")) * percent
-    pairs = x.join(y, "token").filter((F.col("a") < F.col("b")) & sizes).groupBy("a", "b").agg(F.count("*").alias("c"), F.max(places).alias("fits"), F.min("a0").alias("n"), F.min("b0").alias("m"))
-    pairs = materialize(pairs.filter(F.col("fits") & (F.col("c") >= needed(F.col("n"), F.col("m")))).select("a", "b"), "class-pairs")
+    pairs = x.join(y, "token").filter((F.col("a") < F.col("b")) & sizes).groupBy("a", "b").agg(F.count("*").alias("c"), F.max(places).alias("fits"), F.min("a0").alias("n"), F.min("b0").alias("m"), F.max("ak").alias("ak"), F.max("bk").alias("bk"), F.min(F.col("ah") & F.col("bh")).alias("hot"))
+    pairs = materialize(pairs.filter(F.col("fits") & (F.col("c") >= left_needed("n", "m", "ak", "bk", "hot"))).select("a", "b"), "class-pairs")
     if pairs.isEmpty():
         return pairs
     # Exact distances from the members of these classes to their centres.
@@ -238,12 +253,12 @@ def cross_links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, classes: Da
     near = materialize(near, "near-classes")
     if near.isEmpty():
         return direct
-    px = placed.select("token", F.col("centre").alias("a"), F.col("nid").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"))
-    py = placed.select("token", F.col("centre").alias("b"), F.col("nid").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"))
+    px = placed.select("token", F.col("centre").alias("a"), F.col("nid").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("k").alias("xk"), F.col("hot").alias("xh"))
+    py = placed.select("token", F.col("centre").alias("b"), F.col("nid").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("k").alias("yk"), F.col("hot").alias("yh"))
     need = (F.col("xn") + F.col("yn")) * percent
     sizes = (F.col("xn") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("xn") * percent)
     places = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) * (100 + percent) >= need
-    deep = px.join(near, "a").join(py, ["token", "b"]).filter(sizes).groupBy("x", "y", "xn", "yn").agg(F.count("*").alias("c"), F.max(places).alias("fits"))
-    deep = deep.filter(F.col("fits") & (F.col("c") >= needed(F.col("xn"), F.col("yn")))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    deep = px.join(near, "a").join(py, ["token", "b"]).filter(sizes).groupBy("x", "y", "xn", "yn", "xk", "yk", (F.col("xh") & F.col("yh")).alias("hot")).agg(F.count("*").alias("c"), F.max(places).alias("fits"))
+    deep = deep.filter(F.col("fits") & (F.col("c") >= left_needed("xn", "yn", "xk", "yk", "hot"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = check(docs, nodes, deep, width, id_column, text_column, "members")
     return direct.unionByName(found.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"))
