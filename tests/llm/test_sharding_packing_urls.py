@@ -82,6 +82,21 @@ def test_best_fit_keeps_every_capacity(rule):
         assert sorted(zip(o[b == k], own, strict=True))[0][0] == 0
 
 
+@pytest.mark.parametrize(("lengths", "max_docs"), [([1000] * 60, 1024), ([1] * 60, 7), ([4000] * 60 + [2100 + k for k in range(60)], 1024), ([], 1024)])
+def test_packing_keeps_every_piece_where_no_sequence_is_full(spark, monkeypatch, lengths, max_docs):
+    monkeypatch.setattr(packing, "GROUP", 20)
+    parts = spark.createDataFrame(list(enumerate(lengths)), "doc_id bigint, length bigint")
+    packed = packing.pack(parts, 4096, max_docs).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in packed) == list(enumerate(lengths))
+    bins = defaultdict(list)
+    for r in packed:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for rows in bins.values():
+        rows.sort()
+        ends = np.cumsum([n for _, n in rows])
+        assert [o for o, _ in rows] == [0, *ends[:-1].tolist()] and ends[-1] <= 4096 and len(rows) <= max_docs
+
+
 PAGES = "page_id bigint, url string, html string"
 
 

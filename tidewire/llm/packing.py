@@ -164,10 +164,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, max_docs: int = 1024, max_c
         packed = materialize(pack_groups(level, n, salt, capacity, max_docs, max_cost, rule), "packed")
         again = packed.filter(F.col("free") > int(capacity * OPEN_SHARE))
         rest = again.count() if n > GROUP and salt < 3 else 0
+        if rest >= n:  # not one sequence is full: packing the same pieces again gains nothing, so they stay as they are
+            rest = 0
         done = packed if not rest else packed.filter(F.col("free") <= int(capacity * OPEN_SHARE))
         sequence = F.lit(salt << 60) + F.col("grp") * (1 << 32) + F.col("bin")
         out = out.unionByName(done.select(*own, sequence.cast("bigint").alias("sequence_id"), "offset"))
-        if not rest or rest >= n:
+        if not rest:
             break
         level, n, salt = again.select(*rows.columns), rest, salt + 1
     return out
