@@ -195,3 +195,17 @@ def test_salted_and_plain_signatures_agree(spark, monkeypatch):
     monkeypatch.setattr(substring, "FREQUENT_IN", 2)
     assert sorted(set(found())) == plain and len(plain) == 11
     assert frame(spark, rows).filter(F.col("text").isNull()).count() == 0
+
+
+@pytest.mark.parametrize(("salt", "batch"), [(-1, 1000), (-1, 2), (5, 2)])
+def test_all_windows_of_a_first_document_bound_where_to_look(spark, salt, batch):
+    rows = [(7, salt, 1, 11, 30, 0, 60), (7, salt, 1, 11, 230, 190, 276), (7, salt, 1, 11, 300, 290, 340), (7, salt, 2, 22, 40, 5, 66), (8, salt, 2, 22, 9, 0, 50), (8, salt, 3, 33, 9, 1, 51)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    dealt = spark.createDataFrame(rows, "sig bigint, salt int, doc_id bigint, th bigint, c int, l int, r int").coalesce(1).sortWithinPartitions("sig", "salt", "doc_id", "th", "c")
+    found = substring.stars(dealt).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    others = [(r["sig"], r["a_doc"], r["al"], r["ar"], r["b_doc"], r["l"], r["r"]) for r in found if r["a_doc"] != r["b_doc"]]
+    assert sorted(others) == [(7, 1, 0, 340, 2, 5, 66), (8, 2, 0, 50, 3, 1, 51)]
+    own = [(r["l"], r["r"]) for r in found if r["a_doc"] == r["b_doc"]]
+    assert sorted(own) == ([(0, 50), (0, 60), (190, 276), (290, 340)] if salt >= 0 else [])
