@@ -197,6 +197,37 @@ def test_salted_and_plain_signatures_agree(spark, monkeypatch):
     assert frame(spark, rows).filter(F.col("text").isNull()).count() == 0
 
 
+def test_passages_of_either_length_and_order_are_found():
+    import numpy as np
+
+    fresh = iter(range(1, 1 << 20))
+    new = lambda n: [next(fresh) for _ in range(n)]
+
+    def shingles(words):
+        return np.array([hash(tuple(words[i : i + 5])) & (2**63 - 1) for i in range(len(words) - 4)], np.uint64)
+
+    def found(a, b):
+        a, b = shingles(a), shingles(b)
+        return substring.passages(a, b, 0, len(b), 46, 0.8)
+
+    p, q = new(100), new(100)
+    short = new(50)
+    inserted = short[:25] + new(2) + short[25:]  # 42 common shingles of 46 and 48
+    got = found(new(30) + short + new(30), new(20) + inserted + new(20))
+    assert [(s, e, x, y) for s, e, x, y, _ in got] == [(20, 68, 30, 76)] and got[0][4] == 42 / 52
+    for a in (new(20) + p + new(300) + q + new(20), new(20) + q + p + new(20), new(20) + q + new(7) + p):
+        got = found(a, new(15) + p + q + new(15))
+        mark = np.zeros(226, bool)
+        for s, e, _, _, similarity in got:
+            mark[s:e] = True
+            assert similarity >= 0.8
+        assert mark[15:111].all() and mark[115:211].all() and not mark[:15].any() and not mark[215:].any()
+    # A dense passage whose scattered surroundings match too.
+    a = p + q
+    b = p + [w for k in range(10) for w in [*q[10 * k : 10 * k + 6], *new(2)]]
+    assert any(s <= 2 and e >= 94 for s, e, *_ in found(a, b))
+
+
 @pytest.mark.parametrize(("salt", "batch"), [(-1, 1000), (-1, 2), (5, 2)])
 def test_all_windows_of_a_first_document_bound_where_to_look(spark, salt, batch):
     rows = [(7, salt, 1, 11, 30, 0, 60), (7, salt, 1, 11, 230, 190, 276), (7, salt, 1, 11, 300, 290, 340), (7, salt, 2, 22, 40, 5, 66), (8, salt, 2, 22, 9, 0, 50), (8, salt, 3, 33, 9, 1, 51)]
