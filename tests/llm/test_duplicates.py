@@ -105,6 +105,17 @@ def test_leaks_equal_all_windows(spark):
     assert decontam.contamination(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_a_leak_behind_a_window_with_more_in_common_is_found(spark):
+    rng = random.Random(6)
+    w = [f"item{k}" for k in range(54)]  # 50 shingles
+    lead = prose(rng, 30)
+    rows = [(1, " ".join([lead, *w[45:50], "x1 x2 x3", *w[:45]])), (2, " ".join([lead, *w[:5], "x1 x2 x3", *w[:45]])), (3, " ".join([lead, *w[:44]]))]
+    items = [(0, " ".join(w))]
+    found = {r["doc_id"]: r for r in decontam.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert {(d, 0) for d in found} == leaks(rows, items) == {(1, 0), (2, 0), (3, 0)}
+    assert [(found[d]["start"], found[d]["similarity"]) for d in (1, 2, 3)] == [(38, 0.82), (38, 0.82), (30, 0.8)]
+
+
 def removed(rows):
     seen, out = set(), {}
     for doc, text in sorted(dict.fromkeys(rows), key=lambda r: r[0]):

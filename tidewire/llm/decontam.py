@@ -1,4 +1,4 @@
-"""Benchmark decontamination by SimHash over item-sized windows, in DataFrame operations only.
+"""Benchmark decontamination over item-sized windows, in DataFrame operations only.
 
 A document leaks an item when one of its windows of as many shingles as the item has (the document's rest, at its end)
 is at least `threshold` similar to the item. Similarity is exact: over shingles of five words, weighted by how often
@@ -7,12 +7,10 @@ each occurs, the sum of least weights by the sum of greatest weights.
 1. A window that similar shares a shingle with the item. Shifting it to begin at its first shared shingle takes no shared
    shingle out, so the windows that begin at a shared shingle are enough. Shared shingles come from one pass over the
    documents joined with the items' shingles; the texts aren't shuffled.
-2. The windows whose shared weight could reach the threshold get a 128-bit SimHash. The items' fingerprints are indexed
-   in 8 blocks of 16 bits, each with all values up to 3 bits away: two fingerprints at most 31 bits apart differ by 3 bits
-   or fewer in some block, so every item within the radius is a candidate of the window.
-3. Candidates are verified by the exact similarity.
+2. Each of these windows is scored exactly; the best one of a document and item (the first among equals) leaks if it
+   reaches the threshold.
+3. The leaking windows and their items get a 128-bit SimHash; the distance is reported and decides nothing.
 
-The radius of 31 of 128 bits lies three standard deviations above the distance expected at similarity 0.8.
 Null or empty texts leak nothing. A text of fewer than five words is one shingle. Repeated rows give one row. Items that
 repeat are each reported. Empty tables give no rows.
 """
@@ -24,8 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import bounded_broadcast, materialize
 
-WIDTH, BLOCKS, BLOCK_BITS, NEAR_BITS = 5, 8, 16, 3
-RADIUS = BLOCKS * (NEAR_BITS + 1) - 1
+WIDTH, BLOCKS, BLOCK_BITS = 5, 8, 16
 #: Rows up to which the items' shingles (three numbers each) are broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 SPACE = " \t\n\x0b\f\r"
@@ -84,11 +81,6 @@ def fingerprints(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn("fp", fp).drop("sh", "sh2"), name)
 
 
-def near_values() -> Column:
-    masks = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= NEAR_BITS]
-    return F.expr(f"array({', '.join(map(str, masks))})")
-
-
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, th, item_id, start, n_shingles, similarity, hamming): the best window of each document and item.
 
@@ -111,9 +103,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_column:
     shared = starts.join(inside, ["d", "th", "item_id", "b"]).filter("pos >= start and pos < start + n")
     shared = shared.groupBy("doc_id", "th", "item_id", "n", "m", "start", "h").agg(F.least(F.count("*"), F.first("w")).alias("c"))
     scored = shared.groupBy("doc_id", "th", "item_id", "n", "m", "start").agg(F.sum("c").alias("common"))
-    scored = scored.withColumn("size", F.least("n", F.col("m") - F.col("start"))).filter(F.col("common") >= share * F.col("n"))
-    best = scored.groupBy("doc_id", "th", "item_id", "n").agg(F.max(F.struct("common", (-F.col("start")).alias("back"), "size")).alias("x"))
-    best = materialize(best.select("doc_id", "th", "item_id", "n", (-F.col("x.back")).alias("start"), F.col("x.common").alias("common"), F.col("x.size").alias("size")), "windows")
+    scored = scored.withColumn("size", F.least("n", F.col("m") - F.col("start"))).withColumn("similarity", F.col("common") / (F.col("n") + F.col("size") - F.col("common"))).filter(F.col("similarity") >= share)
+    best = scored.groupBy("doc_id", "th", "item_id", "n").agg(F.max(F.struct(F.round("similarity", 6).alias("s"), (-F.col("start")).alias("back"), "similarity")).alias("x"))
+    best = materialize(best.select("doc_id", "th", "item_id", "n", (-F.col("x.back")).alias("start"), F.col("x.similarity").alias("similarity")), "windows")
     # Fingerprints of the windows; the documents' shingles are computed again for these documents only.
     windows = best.select("doc_id", "th", "start", "n").distinct().withColumn("d", F.coalesce("doc_id", F.lit(-1)))
     count = windows.count()
@@ -122,14 +114,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_column:
     cut = with_shingles(cut).select("d", "th", "start", "n", F.slice("sh", F.col("start") + 1, F.col("n")).alias("sh"))
     prints = fingerprints(cut, "window-prints")
     index = fingerprints(item, "item-prints").withColumnRenamed("fp", "ifp")
-    blocks = index.select("item_id", "n", F.posexplode("ifp").alias("block", "v")).select("item_id", "n", "block", F.explode(F.transform(near_values(), lambda m: m.bitwiseXOR(F.col("v")))).alias("v"))
-    blocks = materialize(blocks, "item-blocks")  # written, so that the planner knows its size and doesn't broadcast it
-    probes = prints.select("d", "th", "start", "n", "fp", F.posexplode("fp").alias("block", "v"))
     distance = F.aggregate(F.zip_with("fp", "ifp", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    near = probes.join(blocks, ["block", "v", "n"]).select("d", "th", "start", "n", "item_id", "fp").distinct().join(index, ["item_id", "n"]).withColumn("hamming", distance).filter(F.col("hamming") <= RADIUS)
-    found = best.withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(near.select("d", "th", "start", "item_id", "hamming"), ["d", "th", "start", "item_id"])
-    similarity = F.col("common") / (F.col("n") + F.col("size") - F.col("common"))
-    return found.select("doc_id", "th", "item_id", "start", F.col("n").alias("n_shingles"), similarity.alias("similarity"), "hamming").filter(F.col("similarity") >= share)
+    found = best.withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(prints.select("d", "th", "start", "n", "fp"), ["d", "th", "start", "n"]).join(index.select("item_id", "n", "ifp").dropDuplicates(["item_id", "n"]), ["item_id", "n"])
+    return found.select("doc_id", "th", "item_id", "start", F.col("n").alias("n_shingles"), "similarity", distance.alias("hamming"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
