@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewire.functions import names, scores, text
-from tidewire.operators import entities
+from tidewire.operators import entities, neighbours
 
 
 def one(spark, column, **values):
@@ -105,3 +106,15 @@ def test_score_properties(spark):
     assert one(spark, scores.decay(F.lit(24.0))) == 0.5 and one(spark, scores.decay(F.lit(-3.0))) == 1.0
     assert one(spark, scores.direction(F.lit(0.0))) == "neutral"
     assert one(spark, scores.cadence_seconds(F.array(F.lit("Markets")), F.lit(2))) == 900
+
+
+@pytest.mark.parametrize("most_events", [1000, 10])
+def test_nearest_event_is_exact_at_every_size(spark, most_events):
+    rng = np.random.default_rng(4)
+    a, c = rng.normal(size=(80, 16)), rng.normal(size=(60, 16))
+    articles = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id bigint, embedding array<double>")
+    events = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "event_id bigint, centroid array<double>")
+    s = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
+    want = {i: (int(s[i].argmax()), round(float(s[i].max()), 9)) for i in range(80) if s[i].max() >= 0.5}
+    got = neighbours.nearest_event(articles, events, 0.5, most_events).collect()
+    assert {r["id"]: (r["event_id"], round(r["similarity"], 9)) for r in got} == want and len(want) > 20

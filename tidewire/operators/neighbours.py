@@ -42,28 +42,17 @@ def duplicate_of(query: DataFrame, recent: DataFrame, most: int = 3, window: int
 def nearest_event(articles: DataFrame, events: DataFrame, threshold: float = 0.82, most_events: int = 100_000) -> DataFrame:
     """(id, event_id, similarity) of each article's nearest centroid, if near enough.
 
-    Centroids are counted: up to `most_events` they are broadcast; beyond, both sides meet by signs of random projections.
+    Every article meets every centroid, and each task keeps the best of an article only. Centroids are counted: up to
+    `most_events` they are broadcast; beyond, the partitions of both sides meet one by one.
     """
     a = articles.filter("embedding is not null").select("id", "embedding")
     c = events.filter("centroid is not null").select("event_id", "centroid")
-    if c.count() <= most_events:
-        pairs = a.join(F.broadcast(c))
-    else:
-        pairs = projected(a, "embedding").join(projected(c, "centroid"), ["table", "code"]).drop("table", "code").distinct()
+    pairs = a.join(F.broadcast(c) if c.count() <= most_events else c.hint("shuffle_replicate_nl"))
     scored = pairs.withColumn("similarity", vectors.cosine(F.col("embedding"), F.col("centroid")))
     best = scored.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("event_id")).alias("e"))).alias("x"))
     return best.select("id", (-F.col("x.e")).alias("event_id"), F.col("x.similarity").alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-def projected(df: DataFrame, column: str, tables: int = 12, bits: int = 8, seed: int = 5) -> DataFrame:
-    """A row a hash table with the code of the vector's signs under random projections."""
-    size = len(df.select(column).head()[0])
-    planes = np.random.default_rng(seed).normal(size=(tables * bits, size)).round(4)
-    sign = [F.when(vectors.dot(F.col(column), F.array(*[F.lit(float(x)) for x in p])) > 0, 1).otherwise(0) for p in planes]
-    codes = F.array(*[F.struct(F.lit(t).alias("table"), sum((s * (1 << k) for k, s in enumerate(sign[t * bits : (t + 1) * bits])), F.lit(0)).alias("code")) for t in range(tables)])
-    return df.withColumn("_x", F.explode(codes)).select(*df.columns, "_x.table", "_x.code")
-
-
 def leader_clusters(articles: DataFrame, threshold: float = 0.82) -> DataFrame:
     """(id, event_id, similarity, is_seed): each article, in order of id, joins the nearest running mean or seeds an event.
 
