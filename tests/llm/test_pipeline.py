@@ -40,6 +40,19 @@ def test_each_stage_takes_effect(spark, tmp_path):
     assert ran == {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in docs.collect()}
 
 
+def test_near_duplicates_go_by_id_and_text(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    near = lambda t: f"{t} more"
+    rows = [(1, a), (2, near(a)), (2, b), (2, b), (3, c), (3, near(c)), (4, d), (None, near(d)), (None, e), (None, near(e)), (None, prose(rng, 80)), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(got) == len(set(got)) == 8 and {(1, a), (2, b), (4, d), (None, rows[10][1]), (5, None), (6, "")} <= set(got)
+    assert len({(3, c), (3, near(c))} & set(got)) == 1 and len({(None, e), (None, near(e))} & set(got)) == 1
+
+
 def keeps(text):
     n, chars, symbols, lines, again, repeat, alpha, upper, letters = quality.measure((text or "").encode())
     return not (n < 50 or 100 * repeat > 50 * n or 100 * symbols > 10 * n or 100 * again > 50 * lines or 10 * chars < 20 * n or 10 * chars > 120 * n or 100 * alpha < 70 * n or 100 * upper > 50 * letters) and bool(words(text))
