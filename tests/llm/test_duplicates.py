@@ -62,6 +62,56 @@ def test_classes_without_a_frequency_order_are_the_same(spark, monkeypatch):
     assert got == sorted(classes(rows, 4, 85))
 
 
+def altered(seed):
+    """Copies with words replaced, dropped and added, cuts of all lengths, and texts around a long common passage."""
+    rng = random.Random(seed)
+    base = prose(rng, 150, 3000).split()
+    out = []
+    for _ in range(45):
+        w = list(base)
+        for _ in range(rng.randint(1, 7)):
+            at = rng.randrange(len(w))
+            kind = rng.randrange(4)
+            w[at : at + (kind != 1)] = [] if kind == 0 else [f"new{rng.randrange(60)}"]
+        out.append(" ".join(w))
+    out += [" ".join(base[: rng.randint(70, 150)]) for _ in range(25)]
+    passage = prose(rng, 60, 3000)
+    out += [f"{passage} {prose(rng, rng.randint(3, 14), 3000)}" for _ in range(20)]
+    return [(4000 + i, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize(("k", "percent", "long_list", "levels"), [(4, 85, 2, 6), (5, 80, 2, 6), (4, 85, 4, 1), (5, 80, 3, 2), (4, 85, 2, 0)])
+def test_classes_with_long_lists_equal_all_pairs(spark, monkeypatch, k, percent, long_list, levels):
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
+    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+    rows = altered(long_list) + chain(3)
+    got = sorted(map(tuple, jaccard_join.similarity_classes(frame(spark, rows), k, percent).collect()))
+    assert got == sorted(classes(rows, k, percent))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_partners_share_first_shingles_of_their_differences(percent):
+    """Sets that link, not both with the pivot, share one of so many first shingles of what sets them apart from it."""
+    rng = random.Random(percent)
+    seen = 0
+    for _ in range(3000):
+        pivot = set(range(rng.randint(20, 60)))
+        x = {v for v in pivot if rng.random() > 0.2} | {rng.randrange(100, 112) for _ in range(rng.randrange(12))}
+        y = {v for v in x if rng.random() > 0.08} | {rng.randrange(100, 130) for _ in range(rng.randrange(3))}
+        linked = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+        if not linked(x, y) or linked(x, pivot) and linked(y, pivot) or x == pivot or y == pivot:
+            continue
+        seen += 1
+        firsts = []
+        for s, other in ((x, y), (y, x)):
+            short, whole = jaccard_join.delta_prefixes(len(s & pivot), len(s), len(pivot), percent)
+            order = sorted(s - pivot) + sorted(pivot - s)
+            firsts.append(set(order[: short if not linked(other, pivot) else max(short, whole)]))
+            assert linked(other, pivot) or not linked(s, pivot) or len(order[:short]) == min(short, len(order))
+        assert firsts[0] & firsts[1]
+    assert seen > 300
+
+
 def test_classes_of_no_rows(spark):
     assert jaccard_join.similarity_classes(frame(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard_join.similarity_classes(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]

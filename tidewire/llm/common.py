@@ -29,18 +29,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
+    return write_table(df, name)[0]
+
+
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """materialize(), and the folder."""
     path = f"{shared_dir(df.sparkSession)}/tidewire/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Written tables of one computation, deleted when nothing will read them again."""
+
+    def __init__(self, paths: dict[int, tuple[DataFrame, str]] | None = None):
+        self.all: dict[int, tuple[DataFrame, str]] = {} if paths is None else paths
+        self.own: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = write_table(df, name)
+        self.all[id(out)] = (out, path)
+        return out
+
+    def inner(self) -> Scratch:
+        """For tables that a part of the computation alone reads: add() them here, and drop() them."""
+        return Scratch(self.all)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.own.append(df)
+        return df
 
+    def drop(self) -> None:
+        """Delete the added tables."""
+        for df in self.own:
+            drop_folder(df.sparkSession, self.all.pop(id(df))[1])
+        self.own = []
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files behind a frame of materialize() that nothing will read again."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidewire/" in file:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Delete all tables but these."""
+        self.own = [df for df, _ in self.all.values() if not any(df is k for k in kept)]
+        self.drop()
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -10,11 +10,17 @@ all pairs of a group of copies:
    results).
    Lists of more than LONG_LIST sets are passed over, by all sets that have so few of their indexed shingles in long
    lists that they must share one in a short list with any set they link with.
-3. Index lists are cut into blocks by set size. In each block every set is compared with one pivot set only.
-4. Verified links make classes. A list whose sets all lie in one class is skipped whole. In the others, classes are
-   compared by their centres: with the exact distances of members to their centre, the triangle inequality of the
-   Jaccard distance derives that most pairs of classes can have no link; positions and sizes bound the others. Only
-   pairs that no bound excludes are verified, so every link between different classes is found.
+3. Index lists are cut into blocks by set size. In each block every set is compared with one pivot set only, the one that
+   has the least of its own before the shared shingle, so the original of many altered copies. Verified links make
+   classes, and only pairs of sets of different classes are of interest from here on.
+4. Short lists: their sets meet in pairs, at most LONG_LIST a row.
+5. Long lists: the answers of a set x follow from those of its list's pivot p. With D(x) the shingles that only one of x and
+   p has, the symmetric difference of x and y is that of D(x) and D(y), so x and y link exactly if D(x) and D(y) differ in
+   few enough shingles. Sets that both link with p are connected already. Otherwise D(x) and D(y) have more than
+   (|D(x)| + s (|p| - |x|)) / 2 shingles in common, s = (1 - t) / (1 + t), so the first of them, those that p lacks before those
+   that x lacks, make a new, finer index under p. Sets too far from p for such a partner stay in a list with another pivot.
+   The new lists are treated alike, level by level, until all are short; after LEVELS levels sets meet in pairs.
+   No link between different classes is lost at any step.
 
 Shingles are 64-bit hashes; sets are recomputed from the texts where they are needed instead of being stored.
 Null text and text without words: the empty set, which links with nothing. Fewer words than n: the whole sequence is one
@@ -30,13 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm.common import bounded_broadcast, byte_texts, map_rows, materialize, schema_of, values
+from tidewire.llm.common import Scratch, bounded_broadcast, byte_texts, map_rows, schema_of, values
 from tidewire.llm.components import connected_components
 
 #: Documents that the order's sample holds, and the frequent shingles that it yields (8 bytes each in every task).
 SAMPLE_DOCS, FREQUENT, FREQUENT_IN = 50_000, 500_000, 3
 #: Sets in an index list beyond which the list is passed over for sets that share enough other shingles.
 LONG_LIST = 16
+#: Levels of finer lists under pivots.
+LEVELS = 6
 #: Rows below which a table of ids is broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -97,10 +105,9 @@ def needed(n: Column, m: Column) -> Column:
     return F.floor(F.least(n, m) / SHARE) + 1
 
 
-def left_needed(n: str, m: str, k: str, j: str, hot: str) -> Column:
-    """needed(), less the shared shingles that may lie in long lists, unless both sets keep those."""
-    whole = needed(F.col(n), F.col(m))
-    return F.when(F.col(hot), whole).otherwise(F.greatest(F.lit(1), whole - F.least(k, j)))
+def left_needed(n: str, m: str, k: str, j: str) -> Column:
+    """needed() in short lists: less the shared shingles that may lie in long lists."""
+    return F.greatest(F.lit(1), needed(F.col(n), F.col(m)) - F.least(k, j))
 
 
 def frequent_shingles(docs: DataFrame, width: int, text_column: str) -> np.ndarray:
@@ -164,9 +171,12 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int, id_column: str, text_
     return map_rows(rows, ["text", "nid", "fp"], make, schema_of("nid bigint, shingles binary"))
 
 
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return pairs.join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb")), "b")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, common, total) of the pairs (a, b): the sizes of the sets' intersection and union."""
-    rows = pairs.join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def make():
         def step(batch: pa.RecordBatch) -> dict[str, list]:
@@ -180,85 +190,188 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         return step
 
-    return map_rows(rows, ["a", "b", "sa", "sb"], make, schema_of("a bigint, b bigint, common bigint, total bigint"))
+    return map_rows(with_sets(pairs, sets), ["a", "b", "sa", "sb"], make, schema_of("a bigint, b bigint, common bigint, total bigint"))
+
+
+def delta_prefixes(common: int, size: int, pivot: int, percent: int) -> tuple[int, int]:
+    """How many shingles of D(x) a partner of x shares one of: a partner that doesn't link with the pivot; any partner."""
+    d = size + pivot - 2 * common
+    # More than (d + s (pivot - size)) / 2 in common with a set that doesn't link with the pivot.
+    least = (d * (100 + percent) + (100 - percent) * (pivot - size)) // (2 * (100 + percent)) + 1
+    return d - least + 1, min(d, farthest(size, percent) + 1)
+
+
+def farthest(size: int, percent: int) -> int:
+    """The greatest symmetric difference of a set of this size and one that it links with."""
+    return (100 - percent) * size // percent
+
+
+def relate(pairs: DataFrame, sets: DataFrame, percent: int, order: np.ndarray) -> DataFrame:
+    """For pivots a and sets b: (a, b, m, n, d, linked, deep, short, tokens). m, n: sizes of a and b; d: the size of D(b); deep:
+    all sets that b links with have half of their shingles or more in common with a; tokens: the first of D(b), of which
+    `short` are enough where the partner doesn't link with a; null where b itself has less than half in common with a."""
+    known = np.sort(order)
+
+    def often(s: np.ndarray) -> np.ndarray:
+        return known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> dict[str, list]:
+            out: dict[str, list] = {k: [] for k in ("m", "n", "d", "linked", "deep", "short", "tokens")}
+            for p, x in zip(values(batch, "sa"), values(batch, "sb"), strict=True):
+                p, x = np.frombuffer(p, np.uint64), np.frombuffer(x, np.uint64)
+                own, lacked = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+                d, common = len(own) + len(lacked), len(x) - len(own)
+                short, whole = delta_prefixes(common, len(x), len(p), percent)
+                linked = common * 100 >= (len(own) + len(p)) * percent
+                tokens = None
+                if 3 * d <= len(x) + len(p):
+                    f = often(own)
+                    tokens = np.concatenate([own[~f], own[f], lacked])[: short if linked else max(short, whole)].view(np.int64)
+                deep = 300 * (d + farthest(len(x), percent)) < percent * len(x) + 100 * len(p)
+                for k, v in zip(out, (len(p), len(x), d, linked, deep, short, tokens), strict=True):
+                    out[k].append(v)
+            return {"a": values(batch, "a"), "b": values(batch, "b")} | out
+
+        return step
+
+    schema = schema_of("a bigint, b bigint, m bigint, n bigint, d bigint, linked boolean, deep boolean, short int, tokens array<bigint>")
+    return map_rows(with_sets(pairs, sets), ["a", "b", "sa", "sb"], make, schema)
+
+
+class Corpus:
+    """Documents, their distinct sets as nodes, and the tables of one computation."""
+
+    def __init__(self, docs: DataFrame, width: int, percent: int, id_column: str, text_column: str):
+        self.docs, self.width, self.percent, self.id_column, self.text_column = docs, width, percent, id_column, text_column
+        self.tables = Scratch()
+        self.nodes: DataFrame | None = None
+
+    def sets(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The sets of the nodes a and b of pairs that were written down."""
+        ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
+        ends = self.tables(self.nodes.select("nid", "rep", "fp").join(ends, "nid", "left_semi"), f"{name}-ends")
+        return self.tables(sets_of(self.docs, ends, self.width, self.id_column, self.text_column), f"{name}-sets")
+
+    def links(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b) of nodes that link."""
+        inner = self.tables.inner()
+        pairs = inner.add(self.tables(pairs, f"{name}-pairs"))
+        sets = inner.add(self.sets(pairs, name))
+        checked = self.tables(verify(pairs, sets).filter(F.col("common") * 100 >= F.col("total") * self.percent).select("a", "b"), f"{name}-links")
+        inner.drop()
+        return checked
 
 
 def similarity_classes(docs: DataFrame, width: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id): the smallest id that a document reaches by links, itself included."""
+    """(id, n_shingles, component_id): the smallest id that a document reaches by links, itself included.
+
+    Null text and text without words: 0 shingles, its own component. Repeated rows and equal texts come back row by row with
+    one component. Columns other than the id and the text are not read.
+    """
     order = frequent_shingles(docs, width, text_column)
     docs = docs.select(id_column, text_column)
-    signed = materialize(signatures(docs, width, percent, order, id_column, text_column).withColumnRenamed(id_column, "id"), "signatures")
+    corpus = Corpus(docs, width, percent, id_column, text_column)
+    tables = corpus.tables
+    signed = tables(signatures(docs, width, percent, order, id_column, text_column).withColumnRenamed(id_column, "id"), "signatures")
     if not signed.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
-        docs = docs.dropDuplicates([id_column, text_column])  # so a set is computed anew once
+        corpus.docs = docs.dropDuplicates([id_column, text_column])  # so a set is computed anew once
     nodes = signed.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    corpus.nodes = nodes = tables(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     postings = nodes.select("nid", "n", block.alias("block"), F.posexplode("tokens").alias("pos", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
-    lists = materialize(postings.join(shared, "token"), "lists")  # from here on, only shingles that two sets or more share
-    pivots = lists.groupBy("token", "block").agg(F.min(F.struct("nid", "n")).alias("p"))
+    lists = tables(postings.join(shared, "token"), "lists")  # from here on, only shingles that two sets or more share
+    pivots = lists.groupBy("token", "block").agg(F.min(F.struct("pos", "nid", "n")).alias("p"))
     stars = lists.join(pivots, ["token", "block"]).filter("nid <> p.nid").groupBy(F.col("p.nid").alias("a"), F.col("nid").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("p.n").alias("m"))
-    stars = stars.filter(F.col("c") >= needed(F.col("n"), F.col("m"))).select("a", "b")
-    checked = check(docs, nodes, stars, width, id_column, text_column, "stars")
-    links = checked.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
-    classes = materialize(connected_components(links, "a", "b").select(F.col("node").alias("nid"), F.col("component").alias("centre")), "classes")
-    links = links.unionByName(cross_links(docs, nodes, lists, classes, percent, width, id_column, text_column))
-    linked = materialize(connected_components(links, "a", "b").select(F.col("node").alias("nid"), F.col("component").alias("label")), "linked")
+    links = corpus.links(stars.filter(F.col("c") >= needed(F.col("n"), F.col("m"))).select("a", "b"), "stars")
+    classes = tables(connected_components(links, "a", "b").select(F.col("node").alias("nid"), F.col("component").alias("centre")), "classes")
+    links = links.unionByName(cross_links(corpus, lists, classes, order))
+    linked = tables(connected_components(links, "a", "b").select(F.col("node").alias("nid"), F.col("component").alias("label")), "linked")
     named = nodes.select("fp", "nid", "rep").join(linked, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
-    of_class = materialize(named.join(least, "label").select("fp", "least"), "least")
+    of_class = tables(named.join(least, "label").select("fp", "least"), "least")
+    tables.drop_others(signed, of_class)
     return signed.join(of_class, "fp", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
-def check(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, id_column: str, text_column: str, name: str) -> DataFrame:
-    """verify() of pairs of nodes, written down."""
-    pairs = materialize(pairs, f"{name}-pairs")
-    ends = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    ends = materialize(nodes.select("nid", "rep", "fp").join(ends, "nid", "left_semi"), f"{name}-ends")
-    sets = materialize(sets_of(docs, ends, width, id_column, text_column), f"{name}-sets")
-    return materialize(verify(pairs, sets), f"{name}-checked")
-
-
-def cross_links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, classes: DataFrame, percent: int, width: int, id_column: str, text_column: str) -> DataFrame:
+def cross_links(corpus: Corpus, lists: DataFrame, classes: DataFrame, order: np.ndarray) -> DataFrame:
     """The links (a, b) between sets of different classes."""
+    tables, percent = corpus.tables, corpus.percent
     long = F.col("c") > LONG_LIST
     in_long = lists.filter(long).groupBy("nid", "n").agg(F.count("*").alias("k"))
     # Sets as small as a partner may be need this many in common; a set with as many in long lists keeps those lists.
     in_long = in_long.select("nid", "k", (F.col("k") >= F.floor(F.col("n") * percent / 100 / SHARE) + 1).alias("hot"))
     placed = lists.select("token", "nid", "n", "pos", "c").join(classes, "nid", "left").withColumn("centre", F.coalesce("centre", "nid")).join(in_long, "nid", "left").fillna(0, ["k"]).fillna(False, ["hot"])
-    placed = materialize(placed.filter(~long | F.col("hot")), "placed")
-    by_class = placed.groupBy("token", "centre").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("k").alias("k"), F.min("hot").alias("hot"))
-    mixed = by_class.groupBy("token").agg(F.count("*").alias("t")).filter("t > 1").select("token")
-    by_class = materialize(by_class.join(mixed, "token"), "mixed")
-    x = by_class.select("token", F.col("centre").alias("a"), F.col("n0").alias("a0"), F.col("n1").alias("a1"), F.col("rest").alias("ar"), F.col("k").alias("ak"), F.col("hot").alias("ah"))
-    y = by_class.select("token", F.col("centre").alias("b"), F.col("n0").alias("b0"), F.col("n1").alias("b1"), F.col("rest").alias("br"), F.col("k").alias("bk"), F.col("hot").alias("bh"))
-    sizes = (F.col("a1") * 100 >= F.col("b0") * percent) & (F.col("b1") * 100 >= F.col("a0") * percent)
-    # At the first shingle that two sets share in the order, no more than the shorter rest can be common.
-    places = F.least("ar", "br") * (100 + percent) >= (F.col("a0") + F.col("b0")) * percent
-    pairs = x.join(y, "token").filter((F.col("a") < F.col("b")) & sizes).groupBy("a", "b").agg(F.count("*").alias("c"), F.max(places).alias("fits"), F.min("a0").alias("n"), F.min("b0").alias("m"), F.max("ak").alias("ak"), F.max("bk").alias("bk"), F.min(F.col("ah") & F.col("bh")).alias("hot"))
-    pairs = materialize(pairs.filter(F.col("fits") & (F.col("c") >= left_needed("n", "m", "ak", "bk", "hot"))).select("a", "b"), "class-pairs")
-    if pairs.isEmpty():
-        return pairs
-    # Exact distances from the members of these classes to their centres.
-    concerned = pairs.select(F.col("a").alias("centre")).unionByName(pairs.select(F.col("b").alias("centre"))).distinct()
-    members = classes.join(concerned, "centre", "left_semi").filter("nid <> centre").select(F.col("centre").alias("a"), F.col("nid").alias("b"))
-    both = check(docs, nodes, pairs.unionByName(members), width, id_column, text_column, "centres")
-    gap = (F.col("total") - F.col("common")) / F.col("total")
-    centre = classes.select(F.col("nid").alias("b"), F.col("centre").alias("a"))
-    radius = both.join(centre, ["a", "b"]).groupBy("a").agg(F.max(gap).alias("radius"))
-    apart = both.join(centre, ["a", "b"], "left_anti").withColumn("gap", gap)
-    apart = apart.join(radius.select("a", F.col("radius").alias("ra")), "a", "left").join(radius.select(F.col("a").alias("b"), F.col("radius").alias("rb")), "b", "left").fillna(0.0, ["ra", "rb"])
-    direct = apart.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
-    near = apart.filter((F.col("common") * 100 < F.col("total") * percent) & (F.col("ra") + F.col("rb") > 0) & (F.col("gap") <= F.col("ra") + F.col("rb") + F.lit(1 - percent / 100 + 1e-9))).select("a", "b")
-    near = materialize(near, "near-classes")
-    if near.isEmpty():
-        return direct
-    px = placed.select("token", F.col("centre").alias("a"), F.col("nid").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("k").alias("xk"), F.col("hot").alias("xh"))
-    py = placed.select("token", F.col("centre").alias("b"), F.col("nid").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("k").alias("yk"), F.col("hot").alias("yh"))
-    need = (F.col("xn") + F.col("yn")) * percent
-    sizes = (F.col("xn") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("xn") * percent)
-    places = F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) * (100 + percent) >= need
-    deep = px.join(near, "a").join(py, ["token", "b"]).filter(sizes).groupBy("x", "y", "xn", "yn", "xk", "yk", (F.col("xh") & F.col("yh")).alias("hot")).agg(F.count("*").alias("c"), F.max(places).alias("fits"))
-    deep = deep.filter(F.col("fits") & (F.col("c") >= left_needed("xn", "yn", "xk", "yk", "hot"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = check(docs, nodes, deep, width, id_column, text_column, "members")
-    return direct.unionByName(found.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b"))
+    placed = tables(placed.filter(~long | F.col("hot")), "placed")
+    side = lambda p: placed.filter(~long).select("token", *(F.col(c).alias(p + c) for c in ("nid", "n", "pos", "k", "centre")))
+    # Of two sets no more can be common than what lies before a shared shingle in both and what comes from there on.
+    places = (F.least("xpos", "ypos") + F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos"))) * (100 + percent) >= (F.col("xn") + F.col("yn")) * percent
+    pairs = side("x").join(side("y"), "token").filter((F.col("xnid") < F.col("ynid")) & (F.col("xcentre") != F.col("ycentre")) & fitting(percent))
+    pairs = pairs.groupBy(F.col("xnid").alias("a"), F.col("ynid").alias("b")).agg(F.count("*").alias("c"), F.min(places).alias("fits"), F.min("xn").alias("n"), F.min("yn").alias("m"), F.min("xk").alias("k"), F.min("yk").alias("j"))
+    pairs = [tables(pairs.filter(F.col("fits") & (F.col("c") >= left_needed("n", "m", "k", "j"))).select("a", "b"), "short-pairs")]
+    links: list[DataFrame] = []
+    level = placed.filter(long).select(F.col("token").alias("key"), "nid", "n", "centre", F.col("pos").alias("rank"), F.lit(False).alias("linked"), F.lit(True).alias("short"), F.lit(None).cast("bigint").alias("d"))
+    for depth in range(LEVELS + 1):
+        level, more = meet(corpus, level, depth == LEVELS, pairs)
+        if not more:
+            break
+        level = finer(corpus, level, depth, order, links)
+    found = corpus.links(pairs[0] if len(pairs) == 1 else union(pairs).distinct(), "cross")
+    return union([found, *links])
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def fitting(percent: int) -> Column:
+    """Sizes xn and yn that allow a link."""
+    return (F.col("xn") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("xn") * percent)
+
+
+def meet(corpus: Corpus, level: DataFrame, last: bool, pairs: list[DataFrame]) -> tuple[DataFrame, bool]:
+    """Adds to `pairs` the pairs of short lists; the rows of long ones, and whether there are any.
+
+    In a list, the short unlinked rows meet one another, and linked rows meet unlinked ones.
+    """
+    tables, percent = corpus.tables, corpus.percent
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    sizes = level.groupBy("key").agg(count(~F.col("linked") & F.col("short")).alias("su"), count(F.col("linked")).alias("sl"), count(~F.col("linked")).alias("u"))
+    work = F.col("su") * (F.col("su") - 1) / 2 + F.col("sl") * F.col("u")
+    sizes = sizes.filter(work > 0).withColumn("long", (work > LONG_LIST * (F.col("u") + F.col("sl")) / 2) & F.lit(not last))
+    rows = tables(level.join(sizes, "key").filter(F.col("short") | (F.col("sl") > 0)), "level")
+    side = lambda p, rows: rows.select("key", *(F.col(c).alias(p + c) for c in ("nid", "n", "centre", "d")))
+    direct = rows.filter(~F.col("long"))
+    one, two = direct.filter(~F.col("linked") & F.col("short")), direct.filter(~F.col("linked"))
+    # D(x) and D(y) differ in their sizes' difference at least.
+    apart = F.coalesce(F.abs(F.col("xd") - F.col("yd")) * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent), F.lit(True)) & (F.col("xcentre") != F.col("ycentre")) & fitting(percent)
+    among = side("x", one).join(side("y", one), "key").filter((F.col("xnid") < F.col("ynid")) & apart)
+    between = side("x", direct.filter("linked")).join(side("y", two), "key").filter((F.col("xnid") != F.col("ynid")) & apart)
+    both = among.unionByName(between).select(F.least("xnid", "ynid").alias("a"), F.greatest("xnid", "ynid").alias("b")).distinct()
+    pairs.append(tables(both, "level-pairs"))
+    rest = rows.filter("long")
+    return rest, not rest.isEmpty()
+
+
+def finer(corpus: Corpus, level: DataFrame, depth: int, order: np.ndarray, links: list[DataFrame]) -> DataFrame:
+    """The lists of the next level; adds the links with pivots to `links`."""
+    tables, inner = corpus.tables, corpus.tables.inner()
+    pivots = level.groupBy("key").agg(F.min(F.struct("rank", "nid")).alias("p")).select("key", F.col("p.nid").alias("pivot"))
+    rows = inner.add(tables(level.join(pivots, "key").filter("nid <> pivot"), "under-pivots"))
+    about = inner.add(tables(rows.groupBy(F.col("pivot").alias("a"), F.col("nid").alias("b")).agg(F.min("centre").alias("centre")), "pivot-pairs"))
+    sets = inner.add(corpus.sets(about, "pivot"))
+    related = tables(relate(about.select("a", "b"), sets, corpus.percent, order), "related")
+    links.append(related.filter("linked").select("a", "b"))
+    of = related.join(about, ["a", "b"])
+    near = of.filter("tokens is not null").select("a", F.col("b").alias("nid"), "n", "centre", "linked", "short", "d", F.posexplode("tokens").alias("pos", "token"))
+    near = near.select(F.xxhash64("a", "token", F.lit(depth)).alias("key"), "nid", "n", "centre", F.col("d").alias("rank"), "linked", (F.col("linked") | (F.col("pos") < F.col("short"))).alias("short"), "d")
+    shallow = related.filter(~F.col("deep")).select(F.col("a").alias("pivot"), F.col("b").alias("nid"))
+    far = rows.join(shallow, ["pivot", "nid"], "left_semi")
+    far = far.select(F.xxhash64("key", F.lit("far"), F.lit(depth)).alias("key"), "nid", "n", "centre", "rank", F.lit(False).alias("linked"), F.lit(True).alias("short"), F.lit(None).cast("bigint").alias("d"))
+    out = tables(near.unionByName(far), "finer")
+    inner.drop()
+    return out
