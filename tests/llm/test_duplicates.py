@@ -251,10 +251,15 @@ def test_salted_and_plain_signatures_agree(spark, monkeypatch):
     rng = random.Random(4)
     shared = prose(rng, 90, 5000)
     rows = [(k, f"{prose(rng, 20 + k, 5000)} {shared} {prose(rng, 20, 5000)}") for k in range(12)]
-    found = lambda: sorted((r["doc_id"], r["start_word"], r["end_word"], r["source_doc_id"] < r["doc_id"]) for r in substring.near_passages(frame(spark, rows)).collect())
+
+    def found():
+        """The passages of each document that lie in no other one."""
+        spans = {(r["doc_id"], r["start_word"], r["end_word"]) for r in substring.near_passages(frame(spark, rows)).collect() if r["source_doc_id"] < r["doc_id"]}
+        return sorted(x for x in spans if not any(x != y and x[0] == y[0] and y[1] <= x[1] and x[2] <= y[2] for y in spans))
+
     plain = found()
     monkeypatch.setattr(substring, "FREQUENT_IN", 2)
-    assert sorted(set(found())) == plain and len(plain) == 11
+    assert found() == plain and len(plain) == 11
     assert frame(spark, rows).filter(F.col("text").isNull()).count() == 0
 
 
@@ -291,13 +296,55 @@ def test_passages_of_either_length_and_order_are_found():
 
 @pytest.mark.parametrize(("salt", "batch"), [(-1, 1000), (-1, 2), (5, 2)])
 def test_all_windows_of_a_first_document_bound_where_to_look(spark, salt, batch):
-    rows = [(7, salt, 1, 11, 30, 0, 60), (7, salt, 1, 11, 230, 190, 276), (7, salt, 1, 11, 300, 290, 340), (7, salt, 2, 22, 40, 5, 66), (8, salt, 2, 22, 9, 0, 50), (8, salt, 3, 33, 9, 1, 51)]
+    rows = [(7, salt, 1, 11, 0, 60), (7, salt, 1, 11, 190, 276), (7, salt, 1, 11, 290, 340), (7, salt, 2, 22, 5, 66), (8, salt, 2, 22, 0, 50), (8, salt, 3, 33, 1, 51)]
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    dealt = spark.createDataFrame(rows, "sig bigint, salt int, doc_id bigint, th bigint, c int, l int, r int").coalesce(1).sortWithinPartitions("sig", "salt", "doc_id", "th", "c")
+    dealt = spark.createDataFrame([(*x, 0) for x in rows], substring.WINDOWS).coalesce(1).sortWithinPartitions("sig", "salt", "doc_id", "th", "l")
     found = substring.stars(dealt).collect()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     others = [(r["sig"], r["a_doc"], r["al"], r["ar"], r["b_doc"], r["l"], r["r"]) for r in found if r["a_doc"] != r["b_doc"]]
     assert sorted(others) == [(7, 1, 0, 340, 2, 5, 66), (8, 2, 0, 50, 3, 1, 51)]
     own = [(r["l"], r["r"]) for r in found if r["a_doc"] == r["b_doc"]]
     assert sorted(own) == ([(0, 50), (0, 60), (190, 276), (290, 340)] if salt >= 0 else [])
+
+
+@pytest.mark.parametrize("batch", [1000, 2])
+def test_windows_meet_those_with_the_same_surroundings(spark, batch):
+    """Documents 3 and 5 share what lies before, 4 and 6 what lies behind; the first of the signature is another one."""
+    sides = {1: (0, 0), 3: (5, 1), 4: (2, 9), 5: (5, 3), 6: (4, 9), 7: (0, 8)}
+    rows = [(7, -1, d, 10 * d, d, 50 + d, s << 16 | z) for d, (s, z) in sides.items()] + [(8, -1, 6, 60, 0, 60, 5 << 16 | 9)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    found = substring.stars(spark.createDataFrame(rows, substring.WINDOWS).coalesce(1).sortWithinPartitions("sig", "salt", "doc_id", "th", "l")).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r["a_doc"], r["b_doc"], r["al"], r["l"]) for r in found) == [(1, 3, 1, 3), (1, 4, 1, 4), (1, 5, 1, 5), (1, 6, 1, 6), (1, 7, 1, 7), (3, 5, 3, 5), (4, 6, 4, 6)]
+
+
+def test_passages_are_found_whose_parts_were_known_before(spark):
+    """Texts that hold one half each come first; the whole is held by two later texts."""
+    rng = random.Random(9)
+    rows, want = [], set()
+    for k in range(40):
+        one, two = prose(rng, 40, 5000), prose(rng, 40, 5000)
+        around = lambda t: f"{prose(rng, 25, 5000)} {t} {prose(rng, 25, 5000)}"
+        rows += [(4 * k, around(one)), (4 * k + 1, around(two)), (4 * k + 2, around(f"{one} {two}")), (4 * k + 3, around(f"{one} {two}"))]
+        want.add((4 * k + 3, 4 * k + 2))
+    found = {(r["doc_id"], r["source_doc_id"]) for r in substring.near_passages(frame(spark, rows)).collect()}
+    assert len(found & want) >= 38
+
+
+def test_recall_of_passages_at_every_similarity(spark):
+    """Against the exact similarity of planted passages: of those at 0.8 or more nearly all are found, none below."""
+    rng = random.Random(12)
+    rows, planted = [], {}
+    for k in range(120):
+        p = prose(rng, 120, 5000).split()
+        q = list(p)
+        for _ in range(rng.randint(0, 4)):
+            q[rng.randrange(len(q))] = f"new{k}x{rng.randrange(99)}"
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (p, q)]
+        planted[k] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(2 * k, f"{prose(rng, 30, 5000)} {' '.join(p)} {prose(rng, 9, 5000)}"), (2 * k + 1, f"{prose(rng, 12, 5000)} {' '.join(q)} {prose(rng, 40, 5000)}")]
+    found = {r["doc_id"] // 2 for r in substring.near_passages(frame(spark, rows)).collect()}
+    near = {k for k, s in planted.items() if s >= 0.8}
+    assert len(near) > 60 and len(near & found) >= 0.98 * len(near)

@@ -29,6 +29,8 @@ shingle. Equal rows share a set. An empty table gives no rows.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -88,6 +90,32 @@ def shingle_set(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(shingle_hashes(text.lower().split(), width, hashes))
 
 
+def shingles_of(texts: list[bytes], width: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first, number): the shingles of all texts in one array, and where each text's begin and how many there are.
+
+    As shingle_hashes(), with one pass over all words; a text of fewer words than `width` has none here.
+    """
+    words = [t.lower().split() for t in texts]
+    count = np.fromiter(map(len, words), np.int64, len(words))
+    total = int(count.sum())
+    codes = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, total)
+    first = np.cumsum(count) - count
+    if total < width:
+        return np.zeros(0, np.uint64), first, np.zeros(len(words), np.int64)
+    with np.errstate(over="ignore"):
+        out = np.full(total - width + 1, width, np.uint64)
+        for k in range(width):
+            out = out * MIX + codes[k : total - width + 1 + k]
+            out ^= out >> np.uint64(29)
+        return finish(out), first, np.maximum(count - width + 1, 0)
+
+
+def shingle_sets(texts: list[bytes], width: int, hashes: WordHashes) -> list[np.ndarray]:
+    """shingle_set() of each text."""
+    h, first, number = shingles_of(texts, width, hashes)
+    return [np.unique(h[a : a + n]) if n else shingle_set(t, width, hashes) for t, a, n in zip(texts, first.tolist(), number.tolist(), strict=True)]
+
+
 def fingerprint(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
@@ -119,7 +147,7 @@ def frequent_shingles(docs: DataFrame, width: int, text_column: str) -> np.ndarr
         hashes = WordHashes()
 
         def step(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-            sets = [shingle_set(t, width, hashes) for t in byte_texts(batch, text_column)]
+            sets = shingle_sets(byte_texts(batch, text_column), width, hashes)
             found, times = np.unique(np.concatenate(sets), return_counts=True)
             return {"h": found.view(np.int64), "n": times}
 
@@ -140,7 +168,7 @@ def signatures(docs: DataFrame, width: int, percent: int, order: np.ndarray, id_
         hashes = WordHashes()
 
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            sets = [shingle_set(t, width, hashes) for t in byte_texts(batch, text_column)]
+            sets = shingle_sets(byte_texts(batch, text_column), width, hashes)
             tokens = []
             for s in sets:
                 if len(known) and len(s):
@@ -163,7 +191,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int, id_column: str, text_
         hashes = WordHashes()
 
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            found = [(n, s.tobytes()) for t, n, fp in zip(byte_texts(batch), values(batch, "nid"), values(batch, "fp"), strict=True) if fingerprint(s := shingle_set(t, width, hashes)) == fp]
+            sets = shingle_sets(byte_texts(batch), width, hashes)
+            found = [(n, s.tobytes()) for s, n, fp in zip(sets, values(batch, "nid"), values(batch, "fp"), strict=True) if fingerprint(s) == fp]
             return {"nid": [n for n, _ in found], "shingles": [s for _, s in found]}
 
         return step
