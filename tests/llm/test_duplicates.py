@@ -84,6 +84,7 @@ def altered(seed):
 def test_classes_with_long_lists_equal_all_pairs(spark, monkeypatch, k, percent, long_list, levels):
     monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
     monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+    monkeypatch.setattr(jaccard_join, "LONG_FINER", long_list)
     rows = altered(long_list) + chain(3)
     got = sorted(map(tuple, jaccard_join.similarity_classes(frame(spark, rows), k, percent).collect()))
     assert got == sorted(classes(rows, k, percent))

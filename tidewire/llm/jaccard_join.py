@@ -19,7 +19,8 @@ all pairs of a group of copies:
    few enough shingles. Sets that both link with p are connected already. Otherwise D(x) and D(y) have more than
    (|D(x)| + s (|p| - |x|)) / 2 shingles in common, s = (1 - t) / (1 + t), so the first of them, those that p lacks before those
    that x lacks, make a new, finer index under p. Sets too far from p for such a partner stay in a list with another pivot.
-   The new lists are treated alike, level by level, until all are short; after LEVELS levels sets meet in pairs.
+   The sets of short new lists meet in pairs, those that their sketches don't rule out; long ones are treated alike,
+   level by level. Sets meet in pairs where lists get no shorter, and after LEVELS levels.
    No link between different classes is lost at any step.
 
 Shingles are 64-bit hashes; sets are recomputed from the texts where they are needed instead of being stored.
@@ -45,8 +46,8 @@ from tidewire.llm.components import connected_components
 SAMPLE_DOCS, FREQUENT, FREQUENT_IN = 50_000, 500_000, 3
 #: Sets in an index list beyond which the list is passed over for sets that share enough other shingles.
 LONG_LIST = 16
-#: Levels of finer lists under pivots.
-LEVELS = 6
+#: Levels of finer lists under pivots, and the sets in such a list beyond which it gets a pivot of its own.
+LEVELS, LONG_FINER = 6, 128
 #: Rows below which a table of ids is broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -230,6 +231,15 @@ def delta_prefixes(common: int, size: int, pivot: int, percent: int) -> tuple[in
     return d - least + 1, min(d, farthest(size, percent) + 1)
 
 
+SKETCH = 256
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of SKETCH cells, as bits: two sets' sketches differ in no more bits than
+    the sets differ in shingles."""
+    return np.packbits((np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def farthest(size: int, percent: int) -> int:
     """The greatest symmetric difference of a set of this size and one that it links with."""
     return (100 - percent) * size // percent
@@ -238,15 +248,22 @@ def farthest(size: int, percent: int) -> int:
 def relate(pairs: DataFrame, sets: DataFrame, percent: int, order: np.ndarray) -> DataFrame:
     """For pivots a and sets b: (a, b, m, n, d, linked, deep, short, tokens). m, n: sizes of a and b; d: the size of D(b); deep:
     all sets that b links with have half of their shingles or more in common with a; tokens: the first of D(b), of which
-    `short` are enough where the partner doesn't link with a; null where b itself has less than half in common with a."""
-    known = np.sort(order)
+    `short` are enough where the partner doesn't link with a; null where b itself has less than half in common with a; sk: b's
+    sketch. In the order of D, shingles that few sets are likely to have there come first: those of b's own that are rare,
+    and those that b lacks that are frequent."""
+    by_hash = np.argsort(order)
+    known, rank = order[by_hash], by_hash + 1
 
     def often(s: np.ndarray) -> np.ndarray:
-        return known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
+        """0 for a rare shingle, else its place among the frequent ones, the least frequent first."""
+        if not len(known):
+            return np.zeros(len(s), np.int64)
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        return np.where(known[at] == s, rank[at], 0)
 
     def make():
         def step(batch: pa.RecordBatch) -> dict[str, list]:
-            out: dict[str, list] = {k: [] for k in ("m", "n", "d", "linked", "deep", "short", "tokens")}
+            out: dict[str, list] = {k: [] for k in ("m", "n", "d", "linked", "deep", "short", "tokens", "sk")}
             for p, x in zip(values(batch, "sa"), values(batch, "sb"), strict=True):
                 p, x = np.frombuffer(p, np.uint64), np.frombuffer(x, np.uint64)
                 own, lacked = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
@@ -255,16 +272,16 @@ def relate(pairs: DataFrame, sets: DataFrame, percent: int, order: np.ndarray) -
                 linked = common * 100 >= (len(own) + len(p)) * percent
                 tokens = None
                 if 3 * d <= len(x) + len(p):
-                    f = often(own)
-                    tokens = np.concatenate([own[~f], own[f], lacked])[: short if linked else max(short, whole)].view(np.int64)
+                    weight = np.concatenate([often(own), len(order) + 1 - often(lacked)])
+                    tokens = np.concatenate([own, lacked])[np.argsort(weight, kind="stable")][: short if linked else max(short, whole)].view(np.int64)
                 deep = 300 * (d + farthest(len(x), percent)) < percent * len(x) + 100 * len(p)
-                for k, v in zip(out, (len(p), len(x), d, linked, deep, short, tokens), strict=True):
+                for k, v in zip(out, (len(p), len(x), d, linked, deep, short, tokens, sketch(x)), strict=True):
                     out[k].append(v)
             return {"a": values(batch, "a"), "b": values(batch, "b")} | out
 
         return step
 
-    schema = schema_of("a bigint, b bigint, m bigint, n bigint, d bigint, linked boolean, deep boolean, short int, tokens array<bigint>")
+    schema = schema_of("a bigint, b bigint, m bigint, n bigint, d bigint, linked boolean, deep boolean, short int, tokens array<bigint>, sk array<bigint>")
     return map_rows(with_sets(pairs, sets), ["a", "b", "sa", "sb"], make, schema)
 
 
@@ -340,11 +357,16 @@ def cross_links(corpus: Corpus, lists: DataFrame, classes: DataFrame, order: np.
     pairs = pairs.groupBy(F.col("xnid").alias("a"), F.col("ynid").alias("b")).agg(F.count("*").alias("c"), F.min(places).alias("fits"), F.min("xn").alias("n"), F.min("yn").alias("m"), F.min("xk").alias("k"), F.min("yk").alias("j"))
     pairs = [tables(pairs.filter(F.col("fits") & (F.col("c") >= left_needed("n", "m", "k", "j"))).select("a", "b"), "short-pairs")]
     links: list[DataFrame] = []
-    level = placed.filter(long).select(F.col("token").alias("key"), "nid", "n", "centre", F.col("pos").alias("rank"), F.lit(False).alias("linked"), F.lit(True).alias("short"), F.lit(None).cast("bigint").alias("d"))
+    # Pivots by one rank for all lists, those with most of their shingles in long lists first, so that lists share pivots.
+    level = placed.filter(long).select(F.col("token").alias("key"), "nid", "n", "centre", F.floor(1e6 * (1 - F.col("k") / F.col("n"))).alias("rank"), F.lit(False).alias("linked"), F.lit(True).alias("short"), F.lit(None).cast("bigint").alias("d"), F.lit(None).cast("array<bigint>").alias("sk"))
+    before, last = None, LEVELS == 0
     for depth in range(LEVELS + 1):
-        level, more = meet(corpus, level, depth == LEVELS, pairs)
-        if not more:
+        level, n = meet(corpus, level, depth, last, pairs)
+        if not n:
             break
+        # Lists of sets that have nothing but these shingles in common don't get shorter: their sketches part them.
+        last = depth + 1 == LEVELS or (before is not None and n > 0.8 * before)
+        before = n
         level = finer(corpus, level, depth, order, links)
     found = corpus.links(pairs[0] if len(pairs) == 1 else union(pairs).distinct(), "cross")
     return union([found, *links])
@@ -362,8 +384,8 @@ def fitting(percent: int) -> Column:
     return (F.col("xn") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("xn") * percent)
 
 
-def meet(corpus: Corpus, level: DataFrame, last: bool, pairs: list[DataFrame]) -> tuple[DataFrame, bool]:
-    """Adds to `pairs` the pairs of short lists; the rows of long ones, and whether there are any.
+def meet(corpus: Corpus, level: DataFrame, depth: int, last: bool, pairs: list[DataFrame]) -> tuple[DataFrame, int]:
+    """Adds to `pairs` the pairs of short lists; the rows of long ones and their number.
 
     In a list, the short unlinked rows meet one another, and linked rows meet unlinked ones.
     """
@@ -371,19 +393,21 @@ def meet(corpus: Corpus, level: DataFrame, last: bool, pairs: list[DataFrame]) -
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     sizes = level.groupBy("key").agg(count(~F.col("linked") & F.col("short")).alias("su"), count(F.col("linked")).alias("sl"), count(~F.col("linked")).alias("u"))
     work = F.col("su") * (F.col("su") - 1) / 2 + F.col("sl") * F.col("u")
-    sizes = sizes.filter(work > 0).withColumn("long", (work > LONG_LIST * (F.col("u") + F.col("sl")) / 2) & F.lit(not last))
+    sizes = sizes.filter(work > 0).withColumn("long", (work > (LONG_FINER if depth else LONG_LIST) * (F.col("u") + F.col("sl")) / 2) & F.lit(not last))
     rows = tables(level.join(sizes, "key").filter(F.col("short") | (F.col("sl") > 0)), "level")
-    side = lambda p, rows: rows.select("key", *(F.col(c).alias(p + c) for c in ("nid", "n", "centre", "d")))
+    side = lambda p, rows: rows.select("key", *(F.col(c).alias(p + c) for c in ("nid", "n", "centre", "d", "sk")))
     direct = rows.filter(~F.col("long"))
     one, two = direct.filter(~F.col("linked") & F.col("short")), direct.filter(~F.col("linked"))
-    # D(x) and D(y) differ in their sizes' difference at least.
-    apart = F.coalesce(F.abs(F.col("xd") - F.col("yd")) * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent), F.lit(True)) & (F.col("xcentre") != F.col("ycentre")) & fitting(percent)
+    # D(x) and D(y) differ in their sizes' difference at least, and the sets in as many shingles as their sketches in bits.
+    room = (F.col("xn") + F.col("yn")) * (100 - percent)
+    bits = sum((F.bit_count(F.col("xsk")[i].bitwiseXOR(F.col("ysk")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    apart = F.coalesce(F.abs(F.col("xd") - F.col("yd")) * (100 + percent) <= room, F.lit(True)) & F.coalesce(bits * (100 + percent) <= room, F.lit(True)) & (F.col("xcentre") != F.col("ycentre")) & fitting(percent)
     among = side("x", one).join(side("y", one), "key").filter((F.col("xnid") < F.col("ynid")) & apart)
     between = side("x", direct.filter("linked")).join(side("y", two), "key").filter((F.col("xnid") != F.col("ynid")) & apart)
     both = among.unionByName(between).select(F.least("xnid", "ynid").alias("a"), F.greatest("xnid", "ynid").alias("b")).distinct()
     pairs.append(tables(both, "level-pairs"))
     rest = rows.filter("long")
-    return rest, not rest.isEmpty()
+    return rest, rest.count()
 
 
 def finer(corpus: Corpus, level: DataFrame, depth: int, order: np.ndarray, links: list[DataFrame]) -> DataFrame:
@@ -396,11 +420,11 @@ def finer(corpus: Corpus, level: DataFrame, depth: int, order: np.ndarray, links
     related = tables(relate(about.select("a", "b"), sets, corpus.percent, order), "related")
     links.append(related.filter("linked").select("a", "b"))
     of = related.join(about, ["a", "b"])
-    near = of.filter("tokens is not null").select("a", F.col("b").alias("nid"), "n", "centre", "linked", "short", "d", F.posexplode("tokens").alias("pos", "token"))
-    near = near.select(F.xxhash64("a", "token", F.lit(depth)).alias("key"), "nid", "n", "centre", F.col("d").alias("rank"), "linked", (F.col("linked") | (F.col("pos") < F.col("short"))).alias("short"), "d")
-    shallow = related.filter(~F.col("deep")).select(F.col("a").alias("pivot"), F.col("b").alias("nid"))
-    far = rows.join(shallow, ["pivot", "nid"], "left_semi")
-    far = far.select(F.xxhash64("key", F.lit("far"), F.lit(depth)).alias("key"), "nid", "n", "centre", "rank", F.lit(False).alias("linked"), F.lit(True).alias("short"), F.lit(None).cast("bigint").alias("d"))
+    near = of.filter("tokens is not null").select("a", F.col("b").alias("nid"), "n", "centre", "linked", "short", "d", "sk", F.posexplode("tokens").alias("pos", "token"))
+    near = near.select(F.xxhash64("a", "token", F.lit(depth)).alias("key"), "nid", "n", "centre", F.col("d").alias("rank"), "linked", (F.col("linked") | (F.col("pos") < F.col("short"))).alias("short"), "d", "sk")
+    shallow = related.filter(~F.col("deep")).select(F.col("a").alias("pivot"), F.col("b").alias("nid"), F.col("sk").alias("_sk"))
+    far = rows.join(shallow, ["pivot", "nid"])
+    far = far.select(F.xxhash64("key", F.lit("far"), F.lit(depth)).alias("key"), "nid", "n", "centre", "rank", F.lit(False).alias("linked"), F.lit(True).alias("short"), F.lit(None).cast("bigint").alias("d"), F.col("_sk").alias("sk"))
     out = tables(near.unionByName(far), "finer")
     inner.drop()
     return out
