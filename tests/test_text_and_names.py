@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewire.functions import names, scores, text
+from tidewire.functions import language, names, scores, text
 from tidewire.operators import entities, neighbours
 
 
@@ -39,7 +39,7 @@ def test_text_columns(spark):
     assert one(spark, text.clean_list_any_case(F.array(F.lit(" AAPL"), F.lit("aapl"), F.lit(""), F.lit("Apple")))) == ["AAPL", "Apple"]
     assert one(spark, text.slugify(F.lit("  Two  Words "))) == "two-words"
     assert one(spark, text.domain_of(F.lit("HTTP://WWW.X.org:80/a"))) == "www.x.org"
-    assert one(spark, text.detect_language(F.lit("der Hund und die Katze"))) == "de" and one(spark, text.detect_language(F.lit("ab"))) is None
+    assert one(spark, language.detect_language(F.lit("der Hund und die Katze"))) == "de" and one(spark, language.detect_language(F.lit("ab"))) is None
     assert str(one(spark, text.coerce_time(F.lit("Mon, 05 Jan 2026 10:00:00 GMT")))) == "2026-01-05 10:00:00"
     assert str(one(spark, text.coerce_time(F.lit("20260105T100000Z")))) == "2026-01-05 10:00:00" and one(spark, text.coerce_time(F.lit("soon"))) is None
     assert one(spark, text.word_count(F.lit(" a  b\nc "))) == 3
@@ -108,13 +108,81 @@ def test_score_properties(spark):
     assert one(spark, scores.cadence_seconds(F.array(F.lit("Markets")), F.lit(2))) == 900
 
 
-@pytest.mark.parametrize("most_events", [1000, 10])
-def test_nearest_event_is_exact_at_every_size(spark, most_events):
+@pytest.mark.parametrize("pass_bytes", [64 << 20, 8 * 16 * 7])
+def test_nearest_event_is_exact_at_every_size(spark, pass_bytes):
     rng = np.random.default_rng(4)
     a, c = rng.normal(size=(80, 16)), rng.normal(size=(60, 16))
     articles = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], "id bigint, embedding array<double>")
     events = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "event_id bigint, centroid array<double>")
     s = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
     want = {i: (int(s[i].argmax()), round(float(s[i].max()), 9)) for i in range(80) if s[i].max() >= 0.5}
-    got = neighbours.nearest_event(articles, events, 0.5, most_events).collect()
+    got = neighbours.nearest_event(articles, events, 0.5, pass_bytes).collect()
     assert {r["id"]: (r["event_id"], round(r["similarity"], 9)) for r in got} == want and len(want) > 20
+
+
+def test_resolution_over_components_equals_the_sequential_rule(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    words = "acme zenith nordic steel alpine harbor summit orient pacific valley".split()
+    rows = []
+    for k in range(140):
+        name = " ".join(rng.sample(words, 2)) + rng.choice(["", " Inc.", " Co., Ltd.", " Group"])
+        if rng.random() < 0.3:
+            at = rng.randrange(len(name))
+            name = name[:at] + rng.choice("aeiou") + name[at + 1 :]
+        rows.append((k, rng.choice([name, name.upper(), name.title()]), rng.choice(["org", "org", "place"])))
+    found: list[dict] = []
+    want = {}
+    for k, name, kind in rows:  # every mention against every entity whose keys meet, in order
+        side = {"name": name, "type": kind, "aliases": []}
+        known = next((want[j] for j, n, t in rows[:k] if (n, t) == (name, kind)), None)
+        if known is not None:
+            want[k] = known
+            continue
+        best, at = 0.0, None
+        for i, e in enumerate(found):
+            s = names.match_score(side, e)
+            if s > best:
+                best, at = s, i
+        if at is None or best < 0.88:
+            found.append({"id": k, "name": name, "type": kind, "aliases": []})
+            at = len(found) - 1
+        elif names.normalize_name(name, kind) not in {names.normalize_name(x, kind) for x in (found[at]["name"], *found[at]["aliases"])}:
+            found[at]["aliases"].append(name)
+        want[k] = found[at]["id"]
+    got = {r["id"]: r["entity_id"] for r in entities.resolve(spark.createDataFrame(rows, "id bigint, name string, type string")).collect()}
+    apart = [k for k in want if want[k] != got[k]]
+    # Only names that share no blocking key may differ.
+    for k in apart:
+        mine = set(names.block_keys(rows[k][1], rows[k][2]))
+        assert not all(mine & set(names.block_keys(rows[j][1], rows[j][2])) for j in {want[k], got[k]}), rows[k]
+    assert len(apart) <= 2 and len(set(want.values())) > 20
+    assert list(itertools.islice(got, 1)) and entities.resolve(spark.createDataFrame([], "id bigint, name string, type string")).count() == 0
+
+
+def test_score_bound_drops_no_match(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcde ") for _ in range(rng.randint(0, 12)))
+        b = list(a)
+        for _ in range(rng.randrange(3)):
+            b.insert(rng.randrange(len(b) + 1), rng.choice("abcde "))
+        rows.append((" ".join(a.split()), "org", " ".join("".join(b).split()), rng.choice(["org", "place", ""])))
+    df = spark.createDataFrame(rows, "a string, ta string, b string, tb string")
+    for r in df.withColumn("s", names.scores_over(0.8)("a", "ta", "b", "tb")).collect():
+        s = names.string_score(r["a"], r["b"]) if names.types_match(r["ta"], r["tb"]) else 0.0
+        assert r["s"] == (pytest.approx(s) if s >= 0.8 else None)
+
+
+def test_languages(spark):
+    texts = {"en": "The council voted on Tuesday to build a new bridge", "de": "Der Rat hat am Dienstag beschlossen, eine neue Brücke zu bauen", "fr": "Le conseil a voté mardi la construction d'un nouveau pont", "es": "El consejo votó el martes construir un nuevo puente", "it": "Il consiglio ha votato martedì per costruire un nuovo ponte", "pt": "O conselho votou na terça-feira pela construção de uma nova ponte", "nl": "De raad stemde dinsdag voor de bouw van een nieuwe brug", "sv": "Rådet röstade på tisdagen för att bygga en ny bro", "ja": "評議会は新しい橋を建設する", "ru": "Совет решил построить новый мост", "ko": "의회는 새 다리를 건설하기로 했다", "zh": "议会决定建造新桥"}
+    assert {k: language.language_of(t) for k, t in texts.items()} == {k: k for k in texts}
+    assert [language.language_of(t) for t in (None, "", "ab", "12 345")] == [None] * 4
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(trim(text)) >= 20")
+    right = df.select((language.detect_language("text") == F.col("lang")).alias("ok")).agg(F.avg(F.col("ok").cast("int"))).first()[0]
+    assert right >= 0.97

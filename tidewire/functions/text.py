@@ -143,24 +143,3 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays of trigrams."""
     either = F.size(F.array_union(a, b))
     return F.when(either > 0, F.size(F.array_intersect(a, b)) / either).otherwise(0.0)
-
-
-#: The commonest short words of each language: profiles for detect_language().
-COMMON = {
-    "en": "the of and to in is that for it on was with as be by at from".split(),
-    "de": "der die und das ist nicht mit von zu den ein im für auf dem sie".split(),
-    "fr": "le la les et des est que dans un une pour pas sur qui du en".split(),
-    "es": "el la los las de que y en un una por con para es del se".split(),
-}
-
-
-def detect_language(text: Column) -> Column:
-    """The language whose common words the text holds most; null for under three characters or none of them."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{L}]+")
-
-    def hits(common: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(common)))
-
-    score = F.array(*[F.struct(hits(c).alias("n"), F.lit(k).alias("k")) for k, c in COMMON.items()])
-    best = F.array_max(score)
-    return F.when((F.char_length(F.trim(text)) >= 3) & (best["n"] > 0), best["k"])

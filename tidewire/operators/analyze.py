@@ -48,7 +48,7 @@ class OfflineProvider:
     def keywords(self, text: str, words: list[str]) -> dict:
         found = Counter(w for w in words if len(w) > 3)
         top = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:10]
-        return {"keywords": [{"term": w, "weight": round(c / len(words), 6)} for w, c in top]}
+        return {"keywords": [{"term": w, "weight": round(c / len(words), 9)} for w, c in top]}
 
     def topics(self, text: str, words: list[str]) -> dict:
         top = self.keywords(text, words)["keywords"][:3]

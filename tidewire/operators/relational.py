@@ -93,9 +93,17 @@ def health(outcomes: DataFrame, ring: int = 20) -> DataFrame:
 
 
 def interleave(urls: DataFrame, domain: str = "domain", order: str = "pos") -> DataFrame:
-    """Round-robin over domains, those first seen first; within a domain by order."""
+    """urls with round, first_seen and place: round-robin over domains, those first seen first; within a domain by order.
+
+    A row's place is the number of rows in earlier rounds and its rank in its own: only a row a round goes through one
+    task, not all rows.
+    """
     own = Window.partitionBy(domain)
-    return urls.withColumn("round", F.row_number().over(own.orderBy(order))).withColumn("first_seen", F.min(order).over(own)).orderBy("round", "first_seen")
+    rows = urls.withColumn("round", F.row_number().over(own.orderBy(order))).withColumn("first_seen", F.min(order).over(own))
+    sizes = rows.groupBy("round").agg(F.count("*").alias("n"))
+    before = sizes.select("round", (F.sum("n").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("round").orderBy("first_seen")))
+    return rows.join(before, "round").withColumn("place", F.col("before") + F.col("rank")).drop("before", "rank")
 
 
 def rank_average(df: DataFrame, column: str, name: str, keys: list[str]) -> DataFrame:

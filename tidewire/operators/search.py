@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import scores, vectors
+from tidewire.tables import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -57,18 +58,19 @@ def occurrences(tokens: str, word: str) -> Column:
 
 
 def full_text(articles: DataFrame, query: str) -> DataFrame:
-    """Matching articles with their rank; articles (id, title, body, published_at, ...)."""
+    """Matching articles with their rank; articles (id, title, body, published_at, ...), each id once."""
     words = sorted({w for c in parse_query(query) for positive, p in c if positive for w in p})
     rows = articles.withColumn("tokens", scores.tokens(F.concat_ws(" ", "title", "body"))).withColumn("len", F.size("tokens"))
     tf = [occurrences("tokens", w).alias(f"tf{i}") for i, w in enumerate(words)]
-    rows = rows.select("*", *tf)
+    # One pass over the texts; only numbers are kept of them.
+    rows = written(rows.select("id", "len", *tf, matches("tokens", query).alias("hit")), "matches")
     stats = rows.agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
     rank = F.lit(0.0)
     for i in range(len(words)):
         idf = F.log(1 + (F.col("N") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         rank = rank + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    found = rows.filter(matches("tokens", query)).join(F.broadcast(stats))  # one row of counts
-    return found.select(*articles.columns, rank.alias("rank"))
+    found = rows.filter("hit").join(F.broadcast(stats)).select("id", rank.alias("rank"))  # one row of counts
+    return articles.join(found, "id").select(*articles.columns, "rank")
 
 
 def nearest(articles: DataFrame, vector: list[float], limit: int) -> DataFrame:
@@ -126,7 +128,7 @@ def report(events: DataFrame, articles: DataFrame, title: str, max_events: int =
     rows = gather(events, articles, max_events, per_event)
     item = F.struct((-F.unix_micros(F.coalesce("published_at", F.lit("1970-01-01").cast("timestamp")))).alias("t"), (-F.col("id")).alias("o"), F.col("id"), F.substring("title", 1, 300).alias("title"))
     packed = rows.agg(F.array_sort(F.collect_list(item)).alias("x"))
-    lines = F.transform("x", lambda s: F.concat(F.lit("- "), s["title"], F.lit(" ["), s["id"].cast("string"), F.lit("]")))
+    lines = F.transform("x", lambda s: F.concat(F.lit("- "), F.coalesce(s["title"], F.lit("")), F.lit(" ["), s["id"].cast("string"), F.lit("]")))
     return packed.select(F.lit(title).alias("title"), F.concat_ws("\n", F.lit(f"# {title}"), F.lit(""), F.array_join(lines, "\n")).alias("body_md"), F.transform("x", lambda s: s["id"]).alias("citations"))
 
 

@@ -87,13 +87,24 @@ def step_returns(signals: DataFrame, prices: DataFrame, horizons: list[int], mar
     return out.drop("t0", "t1")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str) -> DataFrame:
-    """Each left row with the last right value at or before its time: one union and one window, no range join."""
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, span_seconds: int = 86_400) -> DataFrame:
+    """Each left row with the last right value at or before its time: one union and one window, no range join.
+
+    A key's rows are dealt by key and `span_seconds` of time, so a hot key is many tasks. What a span hands on to the next
+    is one row, and those rows alone are carried along a key.
+    """
     a = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
     b = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn(value, F.last("_v", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
-    return both.select("_row.*", value)
+    both = a.unionByName(b).withColumn("_span", F.floor(F.unix_micros(F.col("_t").cast("timestamp")) / (span_seconds * 1_000_000)))
+    ends = both.groupBy(*keys, "_span").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_t"))).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_span").alias("_s"), F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    w = Window.partitionBy(*keys, "_span").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_now", F.last("_v", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
+    same = F.col("_span").eqNullSafe(F.col("_s"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(ends, same).select("_row.*", F.coalesce("_now", "_before").alias(value))
 
 
 def backtest(returns: DataFrame, horizons: list[int]) -> DataFrame:

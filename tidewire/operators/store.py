@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import schemas
 from tidewire.functions import scores, text
+from tidewire.tables import written
 
 
 def last_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -65,19 +66,42 @@ def upsert_securities(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.select("symbol", *rest, aliases.alias("aliases"))
 
 
+KEYS_OF_SOURCES = ("feed_url", "homepage_url", "name")
+
+
+def apply_corrections(catalog: DataFrame, corrections: DataFrame) -> DataFrame:
+    """catalog with the columns that corrections (name, ...) give for a name; null gives nothing."""
+    new = corrections.select(*[F.col(c).alias(f"_{c}") for c in corrections.columns])
+    both = catalog.join(new, F.lower("name") == F.lower("_name"), "left")
+    return both.select(*[F.coalesce(f"_{c}", c).alias(c) if c in corrections.columns and c != "name" else F.col(c) for c in catalog.columns])
+
+
 def merge_catalog(base: DataFrame, extra: DataFrame) -> DataFrame:
-    """base plus the extra rows (pos, name, feed_url, homepage_url) whose feed, address and name are all new.
+    """base plus the extra rows (pos, name, feed_url, homepage_url), taken in order of pos, that share no feed, address or
+    name, in any case, with a row before them that was taken.
 
-    Against the base this is three anti joins; among the extra rows the first of each feed, address and name stays. That
-    last rule is applied as ranks, which equals the sequential rule unless a dropped row shares another key with a later one.
+    Rows that share a key with the base go at once. Of the others, a row that comes first under all its keys is taken,
+    what shares a key with it goes, and so on: the sequential rule, in as many rounds as rows wait for one another.
     """
-    out = extra
-    for k in ("feed_url", "homepage_url", "name"):
-        out = out.join(base.filter(F.col(k).isNotNull()).select(F.lower(k).alias("_k")).distinct(), F.lower(out[k]) == F.col("_k"), "left_anti")
-    for k in ("feed_url", "homepage_url", "name"):
-        w = Window.partitionBy(F.lower(k)).orderBy("pos")
-        out = out.withColumn("_r", F.when(F.col(k).isNull(), 1).otherwise(F.row_number().over(w))).filter("_r = 1").drop("_r")
-    return base.unionByName(out.select(*base.columns), allowMissingColumns=True)
+    def keys(df: DataFrame, *columns: str) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lower(k).alias("value")) for k in KEYS_OF_SOURCES])
+        return df.select(*columns, F.explode(each).alias("k")).select(*columns, "k.*").filter("value is not null")
+
+    key = ["kind", "value"]
+    known = keys(extra, "pos").join(keys(base).distinct(), key, "left_semi").select("pos").distinct()
+    waiting = written(keys(extra, "pos").join(known, "pos", "left_anti"), "waiting")
+    taken = extra.filter(F.greatest(*[F.col(k).isNotNull() for k in KEYS_OF_SOURCES]) == F.lit(False)).select("pos")
+    while True:
+        first = waiting.groupBy(*key).agg(F.min("pos").alias("first"))
+        won = waiting.join(first, key).groupBy("pos").agg(F.min(F.col("first") == F.col("pos")).alias("won")).filter("won").select("pos")
+        won = written(won, "taken")
+        if won.isEmpty():
+            break
+        taken = taken.unionByName(won)
+        shut = waiting.join(won, "pos", "left_semi").select(*key).distinct()
+        gone = waiting.join(shut, key, "left_semi").select("pos").distinct()
+        waiting = written(waiting.join(gone, "pos", "left_anti"), "waiting")
+    return base.unionByName(extra.join(taken, "pos", "left_semi").select(*base.columns), allowMissingColumns=True)
 
 
 # --- analysis results -----------------------------------------------------------------------------------------------
@@ -117,3 +141,22 @@ def project_topics(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 def latest_results(results: DataFrame) -> DataFrame:
     """One row a (target, kind, provider): the last writer wins, so a replay changes nothing."""
     return last_of(results, ["target_type", "target_id", "kind", "provider"], "seq")
+
+
+def project_vectors(results: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """((article_id, embedding), rows of another length with the reason) of embedding results."""
+    return check_vectors(payloads(results, "embedding").select(F.col("target_id").alias("article_id"), F.col("p.vector").alias("embedding")), dim)
+
+
+def check_vectors(df: DataFrame, dim: int, column: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(rows whose vector has dim numbers, the others with the reason)."""
+    n = F.size(column)
+    reason = F.when(F.col(column).isNull(), "no vector").when(n != dim, F.format_string("a vector of %d numbers, not " + str(dim), n))
+    marked = df.withColumn("reason", reason)
+    return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
+
+
+def analyzed(articles: DataFrame, results: DataFrame) -> DataFrame:
+    """articles with status analyzed where any kind has a result."""
+    done = results.filter("error is null and target_type = 'article'").select(F.col("target_id").alias("_done")).distinct()
+    return articles.join(done, F.col("id") == F.col("_done"), "left").withColumn("status", F.when(F.col("_done").isNotNull(), "analyzed").otherwise(F.col("status"))).drop("_done")

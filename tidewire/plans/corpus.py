@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire import tables
 from tidewire.functions import names, text
-from tidewire.operators import analyze, emerging, entities, neighbours, search, series, store
+from tidewire.operators import analyze, entities, neighbours, search, series, store
 from tidewire.plans import views
 from tidewire.plans.registry import query, rounded
 from tidewire.sources import connectors
@@ -27,15 +26,15 @@ def simhash(spark, d):
 
 
 #: Hashes that SQL can make too, for the join by bands.
-FAKE_SQL = "h AS (SELECT event_id AS id, (user_id * 1099511627 + (event_id % 50) * 281474976710 + (CASE WHEN event_id % 9 = 0 THEN 5 ELSE 0 END))::BIGINT AS simhash FROM events WHERE event_id < 3000)"
+FAKE_SQL = "h AS (SELECT event_id AS id, (user_id * 1099511627 + (event_id % 50) * 281474976710 + (CASE WHEN event_id % 9 = 0 THEN 5 ELSE 0 END))::BIGINT AS simhash FROM events)"
 
 
 def fake_hashes(spark, d) -> DataFrame:
-    e = views.table(spark, d, "events").filter("event_id < 3000")
+    e = views.table(spark, d, "events")
     return e.select(F.col("event_id").alias("id"), (F.col("user_id") * 1099511627 + F.col("event_id") % 50 * 281474976710 + F.when(F.col("event_id") % 9 == 0, 5).otherwise(0)).cast("bigint").alias("simhash"))
 
 
-@query("near_dups", f"WITH {FAKE_SQL}, g AS (SELECT simhash, min(id) AS first FROM h GROUP BY simhash) SELECT g.first AS a, h.id AS b, 0 AS distance FROM h JOIN g USING (simhash) WHERE h.id <> g.first UNION ALL SELECT x.first, y.first, bit_count(xor(x.simhash, y.simhash))::INT FROM g x JOIN g y ON x.first < y.first WHERE bit_count(xor(x.simhash, y.simhash)) <= 3")
+@query("near_dups", f"WITH {FAKE_SQL}, g AS (SELECT simhash, min(id) AS first FROM h GROUP BY simhash) SELECT g.first AS a, h.id AS b, 0 AS distance FROM h JOIN g USING (simhash) WHERE h.id <> g.first UNION ALL SELECT DISTINCT x.first, y.first, bit_count(xor(x.simhash, y.simhash))::INT FROM (SELECT *, unnest([0, 16, 32, 48]) AS s FROM g) x JOIN (SELECT *, unnest([0, 16, 32, 48]) AS s FROM g) y ON x.s = y.s AND (x.simhash >> x.s) & 65535 = (y.simhash >> y.s) & 65535 AND x.first < y.first WHERE bit_count(xor(x.simhash, y.simhash)) <= 3")
 def near_dups(spark, d):
     return neighbours.near_duplicates(fake_hashes(spark, d))
 
@@ -45,16 +44,19 @@ def near_dup_texts(spark, d):
     return neighbours.near_duplicates(hashes(spark, d))
 
 
-@query("duplicate_of", f"WITH {FAKE_SQL}, last AS (SELECT * FROM h ORDER BY id DESC LIMIT 500), q AS (SELECT * FROM h WHERE id < 200), p AS (SELECT q.id, last.id AS other, bit_count(xor(q.simhash, last.simhash))::INT AS dist FROM q JOIN last ON q.id <> last.id WHERE bit_count(xor(q.simhash, last.simhash)) <= 8) SELECT id, list(other ORDER BY dist, other DESC) AS duplicates, min(dist) AS hamming_distance FROM p GROUP BY id")
+@query("duplicate_of", f"WITH {FAKE_SQL}, last AS (SELECT * FROM h ORDER BY id DESC LIMIT 500), p AS (SELECT q.id, last.id AS other, bit_count(xor(q.simhash, last.simhash))::INT AS dist FROM h q JOIN last ON q.id <> last.id WHERE bit_count(xor(q.simhash, last.simhash)) <= 8) SELECT id, list(other ORDER BY dist, other DESC) AS duplicates, min(dist) AS hamming_distance FROM p GROUP BY id")
 def duplicate_of(spark, d):
     h = fake_hashes(spark, d)
-    return neighbours.duplicate_of(h.filter("id < 200"), h, 8)
+    return neighbours.duplicate_of(h, h, 8)
 
 
-@query("nearest_hash", f"WITH {FAKE_SQL} SELECT id, bit_count(xor(simhash, 12345))::INT AS distance FROM h")
+@query("nearest_hash", f"WITH {FAKE_SQL}, o AS (SELECT n_nationkey AS idx, (n_nationkey % 20)::BIGINT * 7696581389 AS other FROM nation), p AS (SELECT id, idx, bit_count(xor(simhash, other))::INT AS distance FROM h, o) SELECT id, distance, idx::INT AS idx FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, idx) = 1")
 def nearest_hash(spark, d):
-    n = text.nearest_hash(F.lit(12345).cast("bigint"), F.array(F.col("simhash")))
-    return fake_hashes(spark, d).select("id", n["distance"].alias("distance"))
+    """Against one list of 25 hashes, of which five occur twice: the first of equal ones counts."""
+    others = views.table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 20 * F.lit(7696581389)).cast("bigint").alias("other"))
+    others = others.agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "other"))), lambda s: s["other"]).alias("others"))
+    n = text.nearest_hash(F.col("simhash"), F.col("others"))
+    return fake_hashes(spark, d).join(F.broadcast(others)).select("id", n["distance"].alias("distance"), n["idx"].alias("idx"))
 
 
 CENTROIDS_SQL = "m AS (SELECT label AS event_id, k, avg(x) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(64)) AS k FROM embeddings) GROUP BY ALL), c AS (SELECT event_id, list(m ORDER BY k) AS centroid FROM m GROUP BY event_id)"
@@ -86,13 +88,13 @@ def leader_clusters(spark, d):
 
 def catalog(spark, d) -> DataFrame:
     """Part names as organisations, in several spellings."""
-    p = views.table(spark, d, "part").filter("p_partkey < 400")
+    p = views.table(spark, d, "part")
     name = F.concat(F.initcap("p_name"), F.lit(" "), F.col("p_partkey") % 40)
     ends = F.when(F.col("p_partkey") % 3 == 0, " Inc.").when(F.col("p_partkey") % 3 == 1, " Co., Ltd.").otherwise("")
     return p.select(F.col("p_partkey").alias("id"), F.concat(name, ends).alias("name"), F.lit("org").alias("type"), F.array().cast("array<string>").alias("aliases"))
 
 
-CATALOG_SQL = "p AS (SELECT p_partkey AS id, p_name, p_partkey % 40 AS k FROM part WHERE p_partkey < 400)"
+CATALOG_SQL = "p AS (SELECT p_partkey AS id, p_name, p_partkey % 40 AS k FROM part)"
 
 
 @query("name_norm", f"WITH {CATALOG_SQL} SELECT id, lower(p_name) || ' ' || k AS key FROM p")
@@ -100,10 +102,13 @@ def name_norm(spark, d):
     return catalog(spark, d).select("id", names.normalized("name", "type").alias("key"))
 
 
-@query("block_pairs")
+@query("block_pairs", f"""WITH {CATALOG_SQL}, w AS (SELECT id, lower(p_name) || ' ' || k AS name, string_split(lower(p_name) || ' ' || k || CASE id % 3 WHEN 0 THEN ' inc' WHEN 1 THEN ' co ltd' ELSE '' END, ' ') AS words FROM p),
+f AS (SELECT id, replace(name, ' ', '') AS flat, words FROM w), g AS (SELECT id, list_sort(list_distinct([substr(flat, i, 3) FOR i IN range(1, length(flat) - 1)]))[1:4] AS grams, flat, words FROM f),
+keys AS (SELECT id, unnest(list_concat([('gram ' || x) FOR x IN grams], CASE WHEN length(flat) >= 4 THEN ['head ' || flat[1:4]] ELSE [] END, ['words ' || array_to_string(list_sort(list_distinct(words)), ' '), 'first org ' || words[1]])) AS key FROM g)
+SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM keys a JOIN keys b ON a.key = b.key WHERE a.id % 100 = 0""")
 def block_pairs(spark, d):
     c = catalog(spark, d)
-    return entities.candidate_pairs(c.filter("id < 40"), c.filter("id >= 40"))
+    return entities.candidate_pairs(c.filter("id % 100 = 0"), c)
 
 
 @query("trigram_sim", """WITH p AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT name, unnest(string_split(lower(name), ' ')) AS w FROM p), g AS (SELECT DISTINCT name, substr('  ' || w || ' ', i::BIGINT, 3) AS g FROM w, unnest(range(1, 40)) AS r(i) WHERE i <= length(w) + 1),
@@ -118,7 +123,7 @@ def trigram_sim(spark, d):
 @query("match_score")
 def match_score(spark, d):
     c = catalog(spark, d)
-    return entities.match(c.filter("id < 40"), c.filter("id >= 40")).withColumn("score", F.round("score", 6))
+    return entities.match(c.filter("id % 100 = 0"), c).withColumn("score", F.round("score", 6))
 
 
 @query("resolve_entities")
@@ -159,19 +164,26 @@ def rrf_merge(spark, d):
     return search.reciprocal_rank(a, b).withColumn("score", F.round("score", 6))
 
 
-@query("hybrid_search")
+VECTOR = [((i * 7919) % 13 - 6) / 10 for i in range(64)]
+
+
+@query("hybrid_search", f"""WITH {BM25_SQL}, words AS (SELECT id, row_number() OVER (ORDER BY rank DESC, published_at DESC NULLS LAST, id) AS place FROM r QUALIFY place <= 30),
+near AS (SELECT vec_id AS id, row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], {VECTOR}::DOUBLE[]) DESC, vec_id) AS place FROM embeddings JOIN documents ON doc_id = vec_id QUALIFY place <= 30),
+m AS (SELECT id, round(sum(1 / (60 + place)), 6) AS score FROM (SELECT * FROM words UNION ALL SELECT * FROM near) GROUP BY id)
+SELECT id, title, score FROM m JOIN articles USING (id) ORDER BY score DESC, published_at DESC NULLS LAST, id DESC LIMIT 10""")
 def hybrid_search(spark, d):
     e = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     a = views.articles(spark, d).join(e, "id", "left")
-    vector = [((i * 7919) % 13 - 6) / 10 for i in range(64)]
-    return search.hybrid(a, "that from", vector, 10).select("id", "title", "score")
+    return search.hybrid(a, "that from", VECTOR, 10).select("id", "title", "score")
 
 
-@query("report")
+@query("report", f"""{A}, top AS (SELECT event_id, count(*) AS score FROM articles GROUP BY event_id ORDER BY score DESC, event_id DESC LIMIT 3),
+x AS (SELECT id, published_at, substr(title, 1, 300) AS t FROM articles JOIN top USING (event_id) ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 15)
+SELECT 'markets: last 24 h' AS title, '# markets: last 24 h' || chr(10) || chr(10) || string_agg('- ' || coalesce(t, '') || ' [' || id || ']', chr(10) ORDER BY published_at DESC NULLS LAST, id DESC) AS body_md, string_agg(id::VARCHAR, ',' ORDER BY published_at DESC NULLS LAST, id DESC) AS citations FROM x""")
 def report(spark, d):
     a = views.articles(spark, d)
     ev = a.groupBy("event_id").agg(F.count("*").cast("double").alias("score"))
-    return search.report(ev, a, search.report_title(["markets"], 24), 3, 5)
+    return search.report(ev, a, search.report_title(["markets"], 24), 3, 5).withColumn("citations", F.array_join(F.col("citations").cast("array<string>"), ","))
 
 
 @query("report_context", f"{A} SELECT id, '[' || id || '] ' || substr(title, 1, 20) || chr(10) || substr(body, 1, 50) AS context FROM articles")
@@ -189,7 +201,7 @@ def pages(spark, d) -> DataFrame:
 @query("link_extract", """WITH a AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, '<a href="(/[^"#]*)"', 1))) AS href FROM pages)
 SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || href AS link FROM a""")
 def link_extract(spark, d):
-    return pages(spark, d).select("page_id", F.explode(connectors.links("html", "url")).alias("link"))
+    return pages(spark, d).select("page_id", F.explode(connectors.links("html", "url", F.lit(""))).alias("link"))
 
 
 @query("html_extract")
@@ -202,29 +214,36 @@ def page_titles(spark, d):
     return pages(spark, d).select("page_id", connectors.extract("html", "url")["title"].alias("title")).filter("title not like '%&%'")
 
 
-@query("feed_links")
+@query("feed_links", """WITH b AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS base FROM pages)
+SELECT page_id, base || '/feeds/' || page_id || '.xml' AS url, 'News ' || page_id AS title, 'application/rss+xml' AS type, 'link-alternate' AS source FROM b
+UNION ALL SELECT page_id, base || '/blog/rss', 'Blog', '', 'anchor' FROM b WHERE page_id % 3 = 0""")
 def feed_links(spark, d):
-    return pages(spark, d).select("page_id", F.explode(connectors.feed_candidates("html", "url")).alias("f")).select("page_id", "f.*")
+    """The pages with a feed in their head; one in three names another in its text."""
+    head = F.format_string('<link rel="alternate" type="application/rss+xml" title="News %d" href="/feeds/%d.xml"><link rel="alternate" hreflang="de" href="/de">', "page_id", "page_id")
+    more = F.when(F.col("page_id") % 3 == 0, F.lit('<a href="/blog/rss">Blog</a>')).otherwise("")
+    p = pages(spark, d).select("page_id", "url", F.concat(head, "html", more).alias("html"))
+    return p.select("page_id", F.explode(connectors.feed_candidates("html", "url")).alias("f")).select("page_id", "f.*")
 
 
 def feed_bodies(spark, d) -> DataFrame:
-    """An RSS document an event type, made of its first events."""
-    e = views.table(spark, d, "events").filter("event_id < 500")
+    """RSS documents, one a type and hundred events."""
+    e = views.table(spark, d, "events")
     item = F.format_string("<item><title>%s %d</title><link>http://n.example/%d</link><guid>http://c.example/%d</guid><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate><description>v %.2f</description></item>", "event_type", "event_id", "event_id", "event_id", "value")
-    return e.groupBy(views.type_id().alias("source_id")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", item.alias("x")))), lambda s: s["x"]), ""), F.lit("</channel></rss>")).alias("body"))
+    return e.groupBy(views.type_id().alias("source_id"), F.expr("event_id div 100").alias("page")).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", item.alias("x")))), lambda s: s["x"]), ""), F.lit("</channel></rss>")).alias("body"))
 
 
-@query("rss_items", f"SELECT {views.TYPE_ID_SQL} AS source_id, 'http://n.example/' || event_id AS url, 'http://c.example/' || event_id AS canonical_url, event_type || ' ' || event_id AS title, TIMESTAMP '2024-01-01' AS published_at FROM events WHERE event_id < 500")
+@query("rss_items", f"SELECT {views.TYPE_ID_SQL} AS source_id, 'http://n.example/' || event_id AS url, 'http://c.example/' || event_id AS canonical_url, event_type || ' ' || event_id AS title, TIMESTAMP '2024-01-01' AS published_at FROM events")
 def rss_items(spark, d):
     out = connectors.raw_documents(connectors.items(feed_bodies(spark, d), "rss"), "rss")
     return out.select("source_id", "url", "canonical_url", "title", "published_at")
 
 
-@query("gdelt_items", "SELECT user_id AS source_id, 'http://g.example/' || event_id AS url, event_type AS title FROM events WHERE event_id < 300 AND event_id % 10 <> 0")
+@query("gdelt_items", "SELECT user_id AS source_id, 'http://g.example/' || event_id AS url, event_type AS title FROM events WHERE event_id % 10 <> 0")
 def gdelt_items(spark, d):
-    e = views.table(spark, d, "events").filter("event_id < 300")
+    """Answers of an article search, one a user and two hundred events; one article in ten has no address."""
+    e = views.table(spark, d, "events")
     art = F.struct(F.when(F.col("event_id") % 10 != 0, F.concat(F.lit("http://g.example/"), "event_id")).alias("url"), F.col("event_type").alias("title"), F.lit("20240101T000000Z").alias("seendate"), F.lit("en").alias("language"))
-    bodies = e.groupBy(F.col("user_id").alias("source_id")).agg(F.to_json(F.struct(F.collect_list(art).alias("articles"))).alias("body"))
+    bodies = e.groupBy(F.col("user_id").alias("source_id"), F.expr("event_id div 200").alias("page")).agg(F.to_json(F.struct(F.collect_list(art).alias("articles"))).alias("body"))
     return connectors.items(bodies, "gdelt").select("source_id", "url", "title")
 
 
@@ -232,10 +251,14 @@ def analysis(spark, d, kinds=analyze.KINDS) -> DataFrame:
     return analyze.analyze(analyze.requests(views.articles(spark, d), kinds), analyze.OfflineProvider())
 
 
-@query("json_projection")
+WORDS_SQL = f"{views.ARTICLES_SQL}, t AS (SELECT id, regexp_extract_all(lower(concat_ws(chr(10), title, body)), '[\\p{{L}}\\p{{N}}_]+') AS w FROM articles)"
+
+
+@query("json_projection", f"""WITH {WORDS_SQL}, u AS (SELECT id, len(w) AS n, unnest(w) AS term FROM t), c AS (SELECT id, n, term, count(*) AS c FROM u WHERE length(term) > 3 GROUP BY ALL)
+SELECT id AS article_id, term, round(c / n + 33e-10, 6) AS weight FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, term) <= 10""")
 def json_projection(spark, d):
     dim, links = store.project_keywords(analysis(spark, d, ("keywords",)))
-    return links.join(dim, "keyword_id").select("article_id", "term", F.round("weight", 6).alias("weight"))
+    return links.join(dim, "keyword_id").select("article_id", "term", rounded("weight"))
 
 
 @query("entity_projection")
@@ -244,7 +267,7 @@ def entity_projection(spark, d):
     return links.join(dim, "entity_id").select("article_id", "name", F.round("salience", 4).alias("salience"), "count")
 
 
-@query("analysis_results")
+@query("analysis_results", f"WITH {WORDS_SQL} SELECT id AS target_id, unnest(['summary', 'entities', 'keywords', 'topics', 'sentiment', 'embedding']) AS kind, 'offline' AS provider, len(w)::INT AS tokens, NULL::VARCHAR AS error FROM t")
 def analysis_results(spark, d):
     return analysis(spark, d).select("target_id", "kind", "provider", "tokens", "error")
 
@@ -285,7 +308,7 @@ def article_changes(spark, d):
 def stream_buckets(spark, d):
     """The hourly counts by a stream over the events file, run until all is read; the sink keeps each bucket's last count."""
     schema = views.table(spark, d, "events").schema
-    folder = tempfile.mkdtemp() if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/streams/{id(object())}-{spark.sparkContext.startTime}"
+    folder = tables.new_folder(spark, "stream")
     src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     m = src.select(F.lit("topic").alias("target_type"), views.type_id().alias("target_id"), F.col("event_id").alias("article_id"), F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("published_at"))
     out = streams.mention_stream(m, lateness="40 days")
@@ -298,14 +321,10 @@ def stream_buckets(spark, d):
     return rows.groupBy(*series.KEYS, "bucket").agg(F.max_by("count", "batch").alias("count"))
 
 
-@query("rate_limit")
+@query("rate_limit", """WITH RECURSIVE r AS (SELECT 'd' || user_id AS domain, event_id::VARCHAR AS url, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS i FROM events),
+f AS (SELECT domain, url, us, i, true AS allowed, 1e0::DOUBLE AS tokens FROM r WHERE i = 1 UNION ALL SELECT r.domain, r.url, r.us, r.i, x.have >= 1, x.have - (x.have >= 1)::INT
+  FROM f JOIN r ON r.domain = f.domain AND r.i = f.i + 1, LATERAL (SELECT least(2e0, f.tokens + (r.us - f.us) / 1e6 * (1e0 / 36e2)) AS have) x)
+SELECT domain, url, allowed FROM f""")
 def rate_limit(spark, d):
-    e = views.table(spark, d, "events").filter("event_id < 2000")
-    return streams.limit_rate_batch(e.select(F.concat(F.lit("d"), F.col("user_id") % 20).alias("domain"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("string").alias("url")), 1 / 3600, 2.0)
-
-
-@query("alert_history")
-def alert_history(spark, d):
-    m = views.mentions(spark, d)
-    labels = m.select(*series.KEYS, "label").distinct()
-    return emerging.alerts(m, labels, 0.0).select("target_id", "label", "window_start", "window_end", "score", "supporting_article_ids")
+    e = views.table(spark, d, "events")
+    return streams.limit_rate_batch(e.select(F.concat(F.lit("d"), F.col("user_id")).alias("domain"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("string").alias("url")), 1 / 3600, 2.0)

@@ -10,24 +10,25 @@ from tidewire.operators import relational, signals
 from tidewire.plans import views
 from tidewire.plans.registry import query, rounded
 
-ES_SQL = "es AS (SELECT DISTINCT l_suppkey % 40 AS entity_id, regexp_extract(p_brand, '([0-9]+)$', 1)::BIGINT AS security_id, (1 + l_suppkey % 40 % 4) / 4 AS confidence FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 10 = 3)"
+ES_SQL = "es AS (SELECT DISTINCT e AS entity_id, security_id, (1 + e % 4) / 4 AS confidence FROM (SELECT security_id, unnest([security_id % 40, (security_id * 7 + 3) % 40]) AS e FROM (SELECT regexp_extract(p_brand, '([0-9]+)$', 1)::BIGINT AS security_id FROM part)))"
 BEST_SQL = f"""{views.LINKS_SQL}, {ES_SQL}, b AS (SELECT security_id, article_id, entity_id, least(1e0, greatest(0e0, salience * confidence)) AS magnitude FROM links JOIN es USING (entity_id)),
 best AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY security_id, article_id ORDER BY magnitude DESC, entity_id) = 1)"""
 
 
 def entity_securities(spark, d) -> DataFrame:
-    rows = views.table(spark, d, "lineitem").filter("l_suppkey % 10 = 3").join(views.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    entity = F.col("l_suppkey") % 40
-    return rows.select(entity.alias("entity_id"), F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("bigint").alias("security_id"), ((1 + entity % 4) / 4).alias("confidence")).distinct()
+    """Two entities a brand."""
+    brand = views.table(spark, d, "part").select(F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("bigint").alias("security_id")).distinct()
+    both = brand.select("security_id", F.explode(F.array(F.col("security_id") % 40, (F.col("security_id") * 7 + 3) % 40)).alias("entity_id"))
+    return both.select("entity_id", "security_id", ((1 + F.col("entity_id") % 4) / 4).alias("confidence")).distinct()
 
 
 def best(spark, d) -> DataFrame:
     return signals.best_links(views.links(spark, d), entity_securities(spark, d))
 
 
-@query("best_links", f"WITH {BEST_SQL} SELECT security_id, article_id, entity_id, round(magnitude, 6) AS magnitude FROM best WHERE article_id % 20 = 0")
+@query("best_links", f"WITH {BEST_SQL} SELECT security_id, article_id, entity_id, round(magnitude, 6) AS magnitude FROM best")
 def best_links(spark, d):
-    return best(spark, d).filter("article_id % 20 = 0").withColumn("magnitude", F.round("magnitude", 6))
+    return best(spark, d).withColumn("magnitude", F.round("magnitude", 6))
 
 
 SIGNALS_SQL = f"""{BEST_SQL}, art AS (SELECT o_orderkey AS article_id, TIMESTAMP '2024-01-10' - to_seconds(o_orderkey * 60 % 400000) AS t, o_custkey % 50 AS event_id, (o_totalprice % 200 - 100) / 100 AS sent, o_custkey % 5 / 4 AS nov, o_orderkey % 7 / 6 AS cred FROM orders),
@@ -62,7 +63,7 @@ def latest_sentiment(spark, d):
     return signals.latest_analysis(e, "view", "k")
 
 
-PRICES_SQL = "prices AS (SELECT event_type AS symbol, time_bucket(INTERVAL 60 MINUTE, ts::TIMESTAMP, TIMESTAMP '1970-01-01') AS ts, round(avg(value) + 10 + 33e-10, 4) AS price FROM events GROUP BY ALL), sig AS (SELECT event_type AS symbol, time_bucket(INTERVAL 60 MINUTE, ts::TIMESTAMP, TIMESTAMP '1970-01-01') AS as_of, max(event_id) % 21 / 10 - 1 AS score FROM events WHERE event_id % 3 = 0 GROUP BY ALL)"
+PRICES_SQL = "prices AS (SELECT event_type AS symbol, time_bucket(INTERVAL 60 MINUTE, ts::TIMESTAMP, TIMESTAMP '1970-01-01') AS ts, round(avg(value) + 10 + 33e-10, 4) AS price FROM events GROUP BY ALL), sig AS (SELECT event_type AS symbol, time_bucket(INTERVAL 60 MINUTE, ts::TIMESTAMP, TIMESTAMP '1970-01-01') AS as_of, max(event_id) % 21 / 10 - 1 AS score FROM events GROUP BY ALL)"
 HORIZONS = [1, 6, 24]
 
 
@@ -72,7 +73,7 @@ def prices(spark, d) -> DataFrame:
 
 
 def score_rows(spark, d) -> DataFrame:
-    e = views.table(spark, d, "events").filter("event_id % 3 = 0")
+    e = views.table(spark, d, "events")
     return e.groupBy(F.col("event_type").alias("symbol"), F.window(F.col("ts").cast("timestamp"), "60 minutes").alias("w")).agg((F.max("event_id") % 21 / 10 - 1).alias("score")).select("symbol", F.col("w.start").alias("as_of"), "score")
 
 
@@ -98,9 +99,9 @@ def car_curve(spark, d):
     return out.select("horizon", F.round("aar", 6).alias("aar"), F.round("car", 6).alias("car"))
 
 
-@query("as_of_prices", f"WITH {PRICES_SQL}, x AS (SELECT event_id, event_type AS symbol, ts::TIMESTAMP AS t FROM events WHERE event_id % 5 = 0) SELECT event_id, x.symbol, price FROM x ASOF LEFT JOIN prices ON x.symbol = prices.symbol AND x.t >= prices.ts")
+@query("as_of_prices", f"WITH {PRICES_SQL}, x AS (SELECT event_id, event_type AS symbol, ts::TIMESTAMP AS t FROM events) SELECT event_id, x.symbol, price FROM x ASOF LEFT JOIN prices ON x.symbol = prices.symbol AND x.t >= prices.ts")
 def as_of_prices(spark, d):
-    x = views.table(spark, d, "events").filter("event_id % 5 = 0").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"))
+    x = views.table(spark, d, "events").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"))
     return signals.as_of_join(x, prices(spark, d), ["symbol"], "at", "ts", "price").select("event_id", "symbol", "price")
 
 

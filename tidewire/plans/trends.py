@@ -121,24 +121,83 @@ def cusum(spark, d):
     return series.changepoints(buckets(spark, d)).select("target_type", "target_id", "bucket", F.round("s_up", 5).alias("s_up"), F.round("s_down", 5).alias("s_down"), "alarm")
 
 
-@query("bocpd")
+#: Run lengths' log masses as lists, one step of the recursion a bucket.
+BOCPD_SQL = f"""WITH RECURSIVE {views.BUCKETS_SQL}, x AS (SELECT target_type, target_id, bucket, count::DOUBLE AS c, row_number() OVER w AS i, sum(count) OVER w AS s FROM buckets WINDOW w AS (PARTITION BY target_type, target_id ORDER BY bucket)),
+a AS (SELECT target_type, target_id, greatest(var_pop(c), 1e-9) AS var, avg(c) AS prior, least(256, count(*) + 1) AS size, list_prepend(0e0, list(s::DOUBLE ORDER BY i)) AS sums FROM x GROUP BY ALL),
+f AS (SELECT target_type, target_id, bucket, i, [ln(1 / 5e1), ln(1 - 1 / 5e1)] AS m FROM x WHERE i = 1
+  UNION ALL SELECT x.target_type, x.target_id, x.bucket, x.i, [v - t.lse FOR v IN g.grown]
+  FROM f JOIN x ON x.target_type = f.target_type AND x.target_id = f.target_id AND x.i = f.i + 1 JOIN a ON a.target_type = x.target_type AND a.target_id = x.target_id,
+  LATERAL (SELECT list_transform(range(len(f.m)), lambda r: f.m[r + 1] - pow(x.c - (a.sums[x.i] - a.sums[x.i - least(r + 1, x.i - 1)]) / least(r + 1, x.i - 1), 2) / (2 * a.var)) AS joint) j,
+  LATERAL (SELECT list_prepend(list_max(j.joint) + ln(list_sum([exp(v - list_max(j.joint)) FOR v IN j.joint])) + ln(1 / 5e1), [v + ln(1 - 1 / 5e1) FOR v IN j.joint[1:(a.size - 1)::BIGINT]]) AS grown) g,
+  LATERAL (SELECT list_max(g.grown) + ln(list_sum([exp(v - list_max(g.grown)) FOR v IN g.grown])) AS lse) t)
+SELECT target_type, target_id, bucket, round(least(1e0, exp(m[1]) + exp(m[2])), 6) AS reset_prob FROM f"""
+
+
+@query("bocpd", BOCPD_SQL)
 def bocpd(spark, d):
     return series.changepoints(buckets(spark, d)).select("target_type", "target_id", "bucket", F.round("reset_prob", 6).alias("reset_prob"))
 
 
-@query("burst_levels")
+def levels_sql(source: str) -> str:
+    """CTEs up to `path` (target_type, target_id, i, bucket, level, gain): the least path through the levels, forth and back."""
+    return f"""RECURSIVE {source}, x AS (SELECT target_type, target_id, bucket, count::DOUBLE AS c, row_number() OVER (PARTITION BY target_type, target_id ORDER BY bucket) AS i FROM buckets),
+p AS (SELECT target_type, target_id, count(*) AS n, avg(c) AS base, ln(greatest(count(*), 2)) AS tau, least(greatest(1 + ceil(log2(count(*))), 2), 16)::INT AS k FROM x GROUP BY ALL),
+e AS (SELECT x.*, p.n, p.tau, p.k, list_transform(range(p.k), lambda j: greatest(p.base * pow(2, j), 1e-9) - x.c * ln(greatest(p.base * pow(2, j), 1e-9))) AS emit FROM x JOIN p USING (target_type, target_id)),
+f AS (SELECT target_type, target_id, i, list_transform(range(k), lambda j: emit[j + 1] + j * tau) AS cost, []::BIGINT[] AS back FROM e WHERE i = 1
+  UNION ALL SELECT e.target_type, e.target_id, e.i, list_transform(range(e.k), lambda j: list_min(t.through[j + 1]) + e.emit[j + 1]), list_transform(t.through, lambda y: list_position(y, list_min(y))::BIGINT - 1)
+  FROM f JOIN e ON e.target_type = f.target_type AND e.target_id = f.target_id AND e.i = f.i + 1,
+  LATERAL (SELECT list_transform(range(e.k), lambda j: list_transform(range(e.k), lambda q: f.cost[q + 1] + e.tau * greatest(j - q, 0))) AS through) t),
+g AS (SELECT f.target_type, f.target_id, f.i, list_position(cost, list_min(cost))::BIGINT - 1 AS level, back FROM f JOIN p ON p.target_type = f.target_type AND p.target_id = f.target_id AND p.n = f.i
+  UNION ALL SELECT f.target_type, f.target_id, f.i, g.back[g.level + 1], f.back FROM g JOIN f ON f.target_type = g.target_type AND f.target_id = g.target_id AND f.i = g.i - 1),
+path AS (SELECT e.target_type, e.target_id, e.i, e.bucket, g.level, e.emit[1] - e.emit[g.level + 1] AS gain FROM g JOIN e ON e.target_type = g.target_type AND e.target_id = g.target_id AND e.i = g.i)"""
+
+
+def rising(spark, d) -> DataFrame:
+    return series.mention_buckets(views.rising(spark, d))
+
+
+@query("burst_levels", f"WITH {levels_sql(views.BUCKETS_SQL)} SELECT target_type, target_id, bucket, level::INT AS level FROM path")
 def burst_levels(spark, d):
     return series.burst_levels(buckets(spark, d))
 
 
-@query("burst_intervals")
+@query("burst_intervals", f"""WITH {levels_sql(views.RISING_BUCKETS_SQL)}, h AS (SELECT *, i - row_number() OVER (PARTITION BY target_type, target_id ORDER BY i) AS run FROM path WHERE level > 0)
+SELECT target_type, target_id, min(bucket) AS first_bucket, max(bucket) AS last_bucket, max(level)::INT AS level, round(sum(gain), 4) AS weight FROM h GROUP BY target_type, target_id, run""")
 def burst_intervals(spark, d):
-    return series.burst_intervals(buckets(spark, d))
+    return series.burst_intervals(rising(spark, d)).withColumn("weight", F.round("weight", 4))
 
 
-@query("emergingness")
+def emerging_sql(source: str) -> str:
+    """CTEs up to `ranked`: the features of each target's last bucket and their blend."""
+    seasonal = SEASONAL_SQL.replace(views.BUCKETS_SQL + ", s AS", "s AS")
+    return f"""{levels_sql(source)}, {seasonal.replace(" p AS", " pp AS")},
+rz AS (SELECT *, (residual - centre) / greatest(mad / 6745e-4, 1e-9) AS robust_z FROM q QUALIFY row_number() OVER (PARTITION BY target_type, target_id ORDER BY bucket DESC) = 1),
+d1 AS (SELECT *, (count - lag(count) OVER w)::DOUBLE AS d, row_number() OVER w AS nn FROM buckets WINDOW w AS (PARTITION BY target_type, target_id ORDER BY bucket)),
+d2 AS (SELECT *, lag(d) OVER w AS db, lag(d, 2) OVER w AS dc FROM d1 WINDOW w AS (PARTITION BY target_type, target_id ORDER BY bucket)),
+va AS (SELECT target_type, target_id, CASE WHEN nn >= 4 THEN (db + 2 * d) / 3 WHEN nn = 3 THEN (db + d) / 2 WHEN nn = 2 THEN d ELSE 0e0 END AS velocity, CASE WHEN nn >= 4 THEN (d - dc) / 3 WHEN nn = 3 THEN (d - db) / 2 WHEN nn = 2 THEN d ELSE 0e0 END AS acceleration FROM d2 QUALIFY row_number() OVER (PARTITION BY target_type, target_id ORDER BY bucket DESC) = 1),
+bl AS (SELECT target_type, target_id, arg_max(level, i)::INT AS burst_level, max(level)::INT AS max_burst_level FROM path GROUP BY ALL),
+co AS (SELECT *, CASE WHEN robust_z >= 3 THEN 1 / (1 + exp(3 - robust_z)) ELSE exp(robust_z - 3) / (1 + exp(robust_z - 3)) END AS cz, greatest(0e0, tanh(acceleration / 2)) AS ca, CASE WHEN max_burst_level > 0 THEN burst_level / max_burst_level ELSE 0e0 END AS cb, source_count / (source_count + 5e0) AS cs FROM rz JOIN va USING (target_type, target_id) JOIN bl USING (target_type, target_id)),
+ranked AS (SELECT *, round(4e-1 * cz + 25e-2 * ca + 2e-1 * cb + 15e-2 * cs, 6) AS score FROM co)"""
+
+
+@query("emergingness", f"WITH {emerging_sql(views.BUCKETS_SQL)} SELECT target_type, target_id, bucket, count, source_count, round(robust_z, 4) AS robust_z, round(velocity, 4) AS velocity, round(acceleration, 4) AS acceleration, burst_level, max_burst_level, round(score, 4) AS score FROM ranked")
 def emergingness(spark, d):
-    return emerging.rank(buckets(spark, d))
+    out = emerging.rank(buckets(spark, d))
+    return out.select("target_type", "target_id", "bucket", "count", "source_count", *[F.round(c, 4).alias(c) for c in ("robust_z", "velocity", "acceleration")], "burst_level", "max_burst_level", F.round("score", 4).alias("score"))
+
+
+ALERTS_SQL = f"sup AS (SELECT target_type, target_id, array_to_string(list(article_id ORDER BY published_at DESC, article_id DESC)[1:20], ',') AS ids FROM mentions GROUP BY ALL), lab AS (SELECT DISTINCT target_type, target_id, label FROM mentions)"
+ALERTS_SELECT = "SELECT target_id, coalesce(label, target_type || ':' || target_id) AS label, bucket AS window_start, bucket + INTERVAL 60 MINUTE AS window_end, round(score, 4) AS score, ids AS supporting_article_ids FROM ranked JOIN sup USING (target_type, target_id) LEFT JOIN lab USING (target_type, target_id)"
+
+
+def alert_rows(alerts: DataFrame) -> DataFrame:
+    return alerts.select("target_id", "label", "window_start", "window_end", F.round("score", 4).alias("score"), F.array_join(F.col("supporting_article_ids").cast("array<string>"), ",").alias("supporting_article_ids"))
+
+
+@query("alert_history", f"WITH {emerging_sql(views.BUCKETS_SQL)}, {ALERTS_SQL} {ALERTS_SELECT}")
+def alert_history(spark, d):
+    m = views.mentions(spark, d)
+    return alert_rows(emerging.alerts(m, m.select(*series.KEYS, "label").distinct(), 0.0))
 
 
 @query("emerging_parts", """WITH x AS (SELECT event_id, value / 50 AS z, (value - 100) / 40 AS a, event_id % 7 AS lv, event_id % 3 * 3 AS top, user_id % 20 AS src FROM events),
@@ -155,9 +214,9 @@ def label_dim(spark, d):
     return views.mentions(spark, d).filter("target_id <> 2").select("target_type", "target_id", "label").distinct()
 
 
-@query("issues_emerging")
+@query("issues_emerging", f"WITH {emerging_sql(views.RISING_BUCKETS_SQL)}, {ALERTS_SQL.replace('FROM mentions)', 'FROM mentions WHERE target_id <> 2)')} {ALERTS_SELECT} WHERE ranked.score >= 3e-1")
 def issues_emerging(spark, d):
-    return emerging.alerts(views.mentions(spark, d), label_dim(spark, d), 0.3)
+    return alert_rows(emerging.alerts(views.rising(spark, d), label_dim(spark, d), 0.3))
 
 
 @query("emerging_now", f"WITH {EWMA_SQL}, {LATEST_SQL}, lab AS (SELECT DISTINCT target_type, target_id, label FROM mentions WHERE target_id <> 2) SELECT latest.target_type, latest.target_id, coalesce(label, latest.target_type || ':' || latest.target_id) AS label, bucket, count, source_count, round(latest.zscore, 6) AS zscore FROM latest LEFT JOIN lab USING (target_type, target_id)")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Callable, Iterator
 
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidewire import schemas
 from tidewire.functions import text as X
-from tidewire.sources import feeds, html
+from tidewire.functions.language import detect_language
+from tidewire.sources import feeds, html, robots
 
 ITEMS = "url string, canonical_url string, title string, summary string, content string, published string, authors array<string>, headers map<string,string>"
 PARSERS: dict[str, Callable[[str | None], list[dict]]] = {"rss": feeds.parse_feed, "gdelt": feeds.parse_gdelt, "newsapi": feeds.parse_newsapi}
@@ -38,7 +40,8 @@ def items(bodies: DataFrame, kind: str) -> DataFrame:
 
 
 class FeedFiles(DataSource):
-    """spark.read.format("feed_files").option("kind", "rss").load(glob): items of files, one partition a file."""
+    """spark.read.format("feed_files").option("kind", "rss").load(folder): items of a local folder's files, one partition
+    a file. On a cluster, where files lie in a store that Spark alone reads, use read_feeds()."""
 
     @classmethod
     def name(cls) -> str:
@@ -56,18 +59,45 @@ class FeedFilesReader(DataSourceReader):
         self.kind, self.path = options.get("kind", "rss"), options["path"]
 
     def partitions(self):
-        return [InputPartition(p) for p in sorted(glob.glob(self.path))]
+        return [InputPartition(str(p)) for p in sorted(Path("/").glob(self.path.lstrip("/")))]
 
     def read(self, partition):
-        with open(partition.value, encoding="utf-8", errors="replace") as f:
-            for i in PARSERS[self.kind](f.read()):
-                yield (os.path.basename(partition.value), *(i[k] for k in feeds.ITEM_FIELDS))
+        for i in PARSERS[self.kind](Path(partition.value).read_text("utf-8", "replace")):
+            yield (Path(partition.value).name, *(i[k] for k in feeds.ITEM_FIELDS))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FeedFiles)
 
 
+def read_feeds(spark: SparkSession, path: str, kind: str = "rss") -> DataFrame:
+    """Items of feed files anywhere that Spark reads; source_id is a number of the file's path."""
+    files = spark.read.text(path, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("source_id"), F.col("value").alias("body"))
+    return items(files, kind)
+
+
+def listing(listed: DataFrame, store: DataFrame, most: int = 40, selector: str | None = None) -> DataFrame:
+    """Items of listing pages (source_id, url, html): the first `most` links of the same host, joined with the fetched
+    pages (url, html); a link that wasn't fetched gives none. As items with the page as content."""
+    each = listed.select("source_id", F.posexplode(F.slice(links("html", "url", F.lit(selector or "")), 1, most)).alias("pos", "url"))
+    return each.join(store.select("url", F.col("html").alias("content")), "url").select("source_id", "pos", "url", "content")
+
+
+def single(pages: DataFrame) -> DataFrame:
+    """Items of pages (source_id, url, html) that are articles themselves."""
+    return pages.select("source_id", F.lit(0).alias("pos"), "url", F.col("html").alias("content"))
+
+
+def sitemap_pages(maps: DataFrame, bodies: DataFrame, most_children: int = 10) -> DataFrame:
+    """(source_id, url) of the sitemaps (source_id, url, body): their own addresses, or those of the first children of an
+    index that bodies (url, body) has; each address once a source."""
+    read = maps.select("source_id", sitemap("body", "url").alias("m"))
+    own = read.filter("m.kind = 'urlset'").select("source_id", F.explode("m.urls").alias("url"))
+    children = read.filter("m.kind = 'index'").select("source_id", F.explode(F.slice("m.urls", 1, most_children)).alias("url"))
+    inner = children.join(bodies, "url").select("source_id", sitemap("body", "url").alias("m")).filter("m.kind = 'urlset'")
+    return own.unionByName(inner.select("source_id", F.explode("m.urls").alias("url"))).distinct()
+
+
 def raw_documents(rows: DataFrame, method: str, fetched_at=None) -> DataFrame:
     """Raw documents of items (source_id, ITEMS): content, else summary, as the page; keyed by canonical address."""
     at = F.current_timestamp() if fetched_at is None else fetched_at
@@ -103,8 +133,13 @@ def extract(page: pd.Series, url: pd.Series) -> pd.DataFrame:
 
 
 @lazy_udf("array<string>")
-def links(page: pd.Series, url: pd.Series) -> pd.Series:
-    return pd.Series([html.article_links(h, u or "") for h, u in zip(page, url, strict=True)])
+def links(page: pd.Series, url: pd.Series, selector: pd.Series) -> pd.Series:
+    return pd.Series([html.article_links(h, u or "", selector=s or None) for h, u, s in zip(page, url, selector, strict=True)])
+
+
+@lazy_udf("boolean")
+def robots_allow(rules: pd.Series, agent: pd.Series, url: pd.Series) -> pd.Series:
+    return pd.Series([robots.allowed(r, a or "*", u or "") for r, a, u in zip(rules, agent, url, strict=True)])
 
 
 @lazy_udf("array<struct<url string, title string, type string, source string>>")
@@ -132,11 +167,24 @@ def parsed_articles(raw: DataFrame) -> DataFrame:
         F.when(F.size("authors") > 0, F.col("authors")).otherwise(F.coalesce("x.authors", F.array().cast("array<string>"))).alias("authors"),
         F.coalesce("published_at", X.coerce_time(F.col("x.published"))).alias("published_at"), "fetched_at",
     )
-    out = out.withColumn("language", X.detect_language(F.col("body"))).withColumn("content_hash", X.content_hash(X.normalize("body"))).withColumn("simhash", X.simhash64("body")).withColumn("word_count", X.word_count(F.col("body")))
+    out = out.withColumn("language", detect_language("body")).withColumn("content_hash", X.content_hash(X.normalize("body"))).withColumn("simhash", X.simhash64("body")).withColumn("word_count", X.word_count(F.col("body")))
     return out.withColumn("reason", F.when(F.trim("body") == "", "no_content"))
 
 
-def write_topic(df: DataFrame, path: str, key: str = "key", partitions: int = 12) -> None:
+def create_topics(spark: SparkSession, base: str, names=schemas.TOPIC_NAMES) -> None:
+    """A folder for each topic; those that exist stay as they are."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+
+def list_topics(spark: SparkSession, base: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
+def write_topic(df: DataFrame, path: str, key: str = "key", partitions: int = schemas.TOPIC_PARTITIONS) -> None:
     """Append messages as JSON lines, those of one key in one file: what a message broker's topic would hold."""
     df.repartition(partitions, key).write.mode("append").json(path)
 
@@ -149,5 +197,3 @@ def read_topic(spark: SparkSession, path: str, schema) -> DataFrame:
 def message(df: DataFrame, key: str) -> DataFrame:
     """(key, value) as a message broker's sink takes them."""
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
-
-

@@ -85,17 +85,21 @@ def refill(tokens: float, seconds: float, rate: float, capacity: float) -> float
     return min(capacity, tokens + max(0.0, seconds) * rate)
 
 
-def take(times: list[float], rate: float, capacity: float, tokens: float | None = None, last: float | None = None) -> tuple[list[bool], float, float]:
-    """(allowed for each request in order of time, tokens left, last time)."""
+def micros(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
+def take(times: list[int], rate: float, capacity: float, tokens: float | None = None, last: int | None = None) -> tuple[list[bool], float, int]:
+    """(allowed for each request in order of time, tokens left, last time); times in microseconds."""
     tokens = capacity if tokens is None else tokens
     out = []
     for t in times:
-        tokens = refill(tokens, t - last if last is not None else 0.0, rate, capacity)
+        tokens = refill(tokens, (t - last) / 1e6 if last is not None else 0.0, rate, capacity)
         last = t if last is None else max(last, t)
         ok = tokens >= 1
         tokens -= ok
         out.append(ok)
-    return out, tokens, last if last is not None else 0.0
+    return out, tokens, last if last is not None else 0
 
 
 def time_to_live(rate: float, capacity: float) -> int:
@@ -108,12 +112,12 @@ class TokenBucket(StatefulProcessor):
     rate, capacity = 0.5, 2.0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "tokens double, last double", ttlDurationMs=1000 * time_to_live(self.rate, self.capacity))
+        self.state = handle.getValueState("bucket", "tokens double, last bigint", ttlDurationMs=1000 * time_to_live(self.rate, self.capacity))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         f = pd.concat(list(rows)).sort_values("at")
         tokens, last = self.state.get() if self.state.exists() else (None, None)
-        times = (f["at"].astype("int64") / 1e9 if f["at"].dtype == "datetime64[ns]" else f["at"].astype("datetime64[ns]").astype("int64") / 1e9).tolist()
+        times = micros(f["at"])
         ok, tokens, last = take(times, self.rate, self.capacity, tokens, last)
         self.state.update((tokens, last))
         yield pd.DataFrame({"domain": key[0], "url": f["url"].to_numpy(), "allowed": ok})
@@ -123,14 +127,15 @@ class TokenBucket(StatefulProcessor):
 
 
 def limit_rate(requests: DataFrame) -> DataFrame:
-    """(domain, url, allowed) of a stream of requests (domain, at, url)."""
+    """(domain, url, allowed) of a stream of requests (domain, at, url). State expires by the clock, so a query over it goes
+    on without new rows: start it with run(once=False)."""
     return requests.groupBy("domain").transformWithStateInPandas(TokenBucket(), outputStructType="domain string, url string, allowed boolean", outputMode="append", timeMode="ProcessingTime")
 
 
 def limit_rate_batch(requests: DataFrame, rate: float = 0.5, capacity: float = 2.0) -> DataFrame:
     def one(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["at", "url"])
-        return pd.DataFrame({"domain": f["domain"], "url": f["url"], "allowed": take((f["at"].astype("datetime64[ns]").astype("int64") / 1e9).tolist(), rate, capacity)[0]})
+        return pd.DataFrame({"domain": f["domain"], "url": f["url"], "allowed": take(micros(f["at"]), rate, capacity)[0]})
 
     return requests.select("domain", "at", "url").groupBy("domain").applyInPandas(one, "domain string, url string, allowed boolean")
 
