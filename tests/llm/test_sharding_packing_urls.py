@@ -5,10 +5,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import corpus, frame
+from tidewire.operators.graph import connected_components
 from tidewire.llm import packing, queries, sharding, urlfilter
-from tidewire.llm.components import connected_components
 
 
 def test_shards_are_even_gapless_and_whole(spark):
@@ -132,3 +133,71 @@ def test_components_equal_a_union_find(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()))
     nodes = {x for e in edges if e[0] is not None and e[0] != e[1] for x in e}
     assert got == {x: find(x) for x in nodes}
+
+
+def test_relative_targets_resolve_as_browsers_do(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.example/x/y/z?q=1#f", "https://B.example", "http://c.example/x/", "http://d.example/x"]
+    targets = ["/p", "p/q?r#s", "../p", "../../..//p", "./p/./q/..", "?z=1", "//h.example/k", "https://k.example/l", "..", "."]
+    df = spark.createDataFrame([(b, t) for b in bases for t in targets], "b string, t string").withColumn("got", urlfilter.resolve(F.col("b"), F.col("t")))
+    node = lambda u: u.split("://", 1)[1].rstrip("/")
+    for r in df.collect():
+        assert node(r["got"]).replace("//", "/") == node(urljoin(r["b"], r["t"])).replace("//", "/"), (r["b"], r["t"], r["got"])
+    none = spark.createDataFrame([("http://a.example/", "mailto:x@y"), ("no scheme", "/p"), (None, "/p"), ("http://a.example/", "javascript:x")], "b string, t string")
+    assert [r[0] for r in none.select(urlfilter.resolve(F.col("b"), F.col("t"))).collect()] == [None] * 4
+
+
+def test_verdicts_over_redirect_chains_equal_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rng = random.Random(8)
+    hosts = ["example.com", "a.example.com", "x.net", "example.net", "y.org", "z.it", "w.it"]
+    urls = [f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.randrange(40)}{rng.choice(['', '?utm_source=a', '?page=2', '#top', '/'])}" for _ in range(220)]
+    rows = []
+    for k, u in enumerate([*urls, None, "no scheme", "http://EXAMPLE.com"]):
+        other = rng.choice(urls)
+        target = rng.choice([other, other.split("://", 1)[1].join(["//", ""]), "/" + other.split("/", 3)[3], f"{rng.randrange(40)}", "?page=3"])
+        kind = rng.randrange(5)
+        page = [None, "", f'<link href="{target}" rel="canonical">', f"<LINK rel=canonical href='{target}'>", f'<meta http-equiv="refresh" content="0;url={target}">'][kind]
+        rows.append((k, u, page))
+    df = spark.createDataFrame(rows, PAGES)
+    df.coalesce(1).write.parquet(f"{tmp_path}/pages")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    want = sorted(con.execute(queries.OP8_SQL).fetchall())
+    got = sorted(map(tuple, urlfilter.filter_urls(df, urlfilter.page_edges(df)).select("page_id", "host", "path", "rule", "verdict").collect()))
+    assert got == want
+    ruled = {r[0] for r in got if r[3]}
+    assert sum(r[4] == "block" and r[0] not in ruled for r in got) > 10
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_equals_a_plain_version(rule):
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 90, 160)
+    whole, w = np.array([100.0, 4.0, 6000.0]), np.array([1.0, 0.05, 0.05])
+    bins: list[list[int]] = []
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        need = np.array([lengths[i], 1.0, lengths[i] ** 2])
+        best, at = None, None
+        for k, own in enumerate(bins):
+            left = whole - sum(np.array([lengths[j], 1.0, lengths[j] ** 2]) for j in own)
+            after = (left - need) / whole
+            if (after >= 0).all():
+                score = float((after * after) @ w) if rule == "norm" else -float((left / whole) @ (w * need / whole))
+                if best is None or score < best - 1e-12:
+                    best, at = score, k
+        if at is None:
+            bins.append([i])
+        else:
+            bins[at].append(i)
+    got, _ = packing.best_fit(lengths, 100, 4, 6000, rule=rule)
+    made = got.max() + 1
+    # Ties may be taken otherwise: the number of bins and every capacity are what must agree.
+    assert abs(made - len(bins)) <= 1
+    for k in range(made):
+        own = lengths[got == k]
+        assert own.sum() <= 100 and len(own) <= 4 and ((own**2).sum() <= 6000 or len(own) == 1)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,38 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.tables import drop_folder, write_table
+from tidewire.tables import written as materialize  # noqa: F401
+
 #: Rows and bytes of one Arrow batch: documents may hold 100 kB each, so the default of 10,000 rows is too many.
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
-    return write_table(df, name)[0]
-
-
-def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """materialize(), and the folder."""
-    path = f"{shared_dir(df.sparkSession)}/tidewire/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 class Scratch:
     """Written tables of one computation, deleted when nothing will read them again."""
 

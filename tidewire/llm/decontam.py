@@ -7,9 +7,13 @@ each occurs, the sum of least weights by the sum of greatest weights.
 1. A window that similar shares a shingle with the item. Shifting it to begin at its first shared shingle takes no shared
    shingle out, so the windows that begin at a shared shingle are enough. Shared shingles come from one pass over the
    documents joined with the items' shingles; the texts aren't shuffled.
-2. Each of these windows is scored exactly; the best one of a document and item (the first among equals) leaks if it
-   reaches the threshold.
-3. The leaking windows and their items get a 128-bit SimHash; the distance is reported and decides nothing.
+2. Each of these windows is scored exactly by running sums over the hits in order, so the work is linear in the hits: a
+   hit counts for the windows that begin after the hit of its shingle as many times before as the item has the shingle,
+   and not before the hit less the item's size. The best window of a document and item (the first among equals) leaks if
+   it reaches the threshold.
+3. The leaking windows and their items get a 128-bit SimHash; the distance is reported and decides nothing: a fingerprint
+   can't propose windows without losing some (figures in the README), so the shared shingles propose and the exact
+   similarity decides.
 
 Null or empty texts leak nothing. A text of fewer than five words is one shingle. Repeated rows give one row. Items that
 repeat are each reported. Empty tables give no rows.
@@ -17,7 +21,9 @@ repeat are each reported. Empty tables give no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import bounded_broadcast, materialize
@@ -81,6 +87,24 @@ def fingerprints(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn("fp", fp).drop("sh", "sh2"), name)
 
 
+def window_weights(hits: DataFrame) -> DataFrame:
+    """(doc_id, th, item_id, n, m, start, common) of the windows of n shingles that begin at a hit (doc_id, th, item_id, n, m,
+    pos, h, w): the sum over shingles of the least of w and the shingle's hits in the window."""
+    pair = ["doc_id", "th", "item_id"]
+    of = Window.partitionBy(*pair)
+    placed = hits.withColumn("k", F.row_number().over(Window.partitionBy(*pair, "h").orderBy("pos")))
+    # The position of the w-th hit of the shingle before, which the window must begin behind.
+    earlier = placed.select(*[F.col(c).alias(f"_{c}") for c in (*pair, "h")], (F.col("k") + F.col("w")).alias("_k"), F.col("pos").alias("q"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*pair, "h", "k")]
+    placed = placed.join(earlier, reduce(lambda x, y: x & y, same), "left")
+    low = F.greatest(F.coalesce("q", F.lit(-1)), F.col("pos") - F.col("n")) + 1
+    event = lambda at, add, start: F.struct(at.cast("bigint").alias("at"), F.lit(add).alias("add"), F.lit(start).alias("is_start"))
+    events = placed.select(*pair, "n", "m", F.explode(F.array(event(low, 1, False), event(F.col("pos") + 1, -1, False), event(F.col("pos"), 0, True))).alias("e")).select(*pair, "n", "m", "e.*")
+    running = of.orderBy("at", "is_start").rowsBetween(Window.unboundedPreceding, 0)
+    summed = events.withColumn("common", F.sum("add").over(running)).filter("is_start")
+    return summed.select(*pair, "n", "m", F.col("at").alias("start"), "common")
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, th, item_id, start, n_shingles, similarity, hamming): the best window of each document and item.
 
@@ -96,13 +120,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_column:
     pair = ["doc_id", "th", "item_id"]
     enough = hits.groupBy(*pair).agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(F.col("k") >= share * F.col("n")).select(*[F.col(c).alias(f"_{c}") for c in pair])
     hits = hits.join(enough, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th")) & F.col("item_id").eqNullSafe(F.col("_item_id")), "left_semi").distinct()
-    # Windows begin at hits; the hits in each come from its own block of n positions and the next.
-    hits = hits.withColumn("d", F.coalesce("doc_id", F.lit(-1))).withColumn("b", F.expr("pos div n"))
-    starts = hits.select("d", "doc_id", "th", "item_id", "n", "m", F.col("pos").alias("start"), F.explode(F.array("b", F.col("b") + 1)).alias("b")).distinct()
-    inside = hits.select("d", "th", "item_id", "b", "pos", "h", "w")
-    shared = starts.join(inside, ["d", "th", "item_id", "b"]).filter("pos >= start and pos < start + n")
-    shared = shared.groupBy("doc_id", "th", "item_id", "n", "m", "start", "h").agg(F.least(F.count("*"), F.first("w")).alias("c"))
-    scored = shared.groupBy("doc_id", "th", "item_id", "n", "m", "start").agg(F.sum("c").alias("common"))
+    scored = window_weights(hits)
     scored = scored.withColumn("size", F.least("n", F.col("m") - F.col("start"))).withColumn("similarity", F.col("common") / (F.col("n") + F.col("size") - F.col("common"))).filter(F.col("similarity") >= share)
     best = scored.groupBy("doc_id", "th", "item_id", "n").agg(F.max(F.struct(F.round("similarity", 6).alias("s"), (-F.col("start")).alias("back"), "similarity")).alias("x"))
     best = materialize(best.select("doc_id", "th", "item_id", "n", (-F.col("x.back")).alias("start"), F.col("x.similarity").alias("similarity")), "windows")

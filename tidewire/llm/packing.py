@@ -5,11 +5,16 @@ capacities: tokens, documents and attention cost (the sum of squared lengths). P
 goes to the open sequence that can hold it under every capacity and scores best: least weighted norm of what is left
 (`norm`), or greatest weighted dot product of piece and residual (`dot`).
 
+By default the cost capacity is that of one full piece, the least that lets every piece in; tokens are then what binds.
+A smaller one bounds the attention work of a sequence, and pieces over it get sequences of their own.
+
 Packing runs in groups of a bounded number of pieces, dealt by hash, so a task's memory and time don't grow with the
 input. Sequences that a group leaves less than full are opened again and their pieces are packed anew in groups of
-their own, so what the division costs is a part of one sequence in thousands.
+their own, up to REPACK times, so what the division costs is a part of one sequence in thousands. Every piece comes out
+once: what is not packed again stays as it was packed.
 
-Null or empty text: the end id alone. Repeated rows are packed one by one. An empty table gives no rows.
+Null or empty text: the end id alone. Repeated rows are packed one by one. Ties: the sequence opened first. Columns other
+than the id and the text are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ from tidewire.llm.common import byte_texts, map_rows, materialize, schema_of, va
 CAPACITY, END_ID = 4096, 1
 #: Pieces that one packing task takes.
 GROUP = 6000
-#: A sequence with more of its tokens free than this is packed again.
-OPEN_SHARE = 0.02
+#: A sequence with more of its tokens free than this is packed again, at most REPACK times.
+OPEN_SHARE, REPACK = 0.02, 3
 #: Words that a Python worker remembers, and the longest it does.
 CACHE_WORDS, CACHE_BYTES = 1_200_000, 48
 
@@ -163,7 +168,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, max_docs: int = 1024, max_c
     while True:
         packed = materialize(pack_groups(level, n, salt, capacity, max_docs, max_cost, rule), "packed")
         again = packed.filter(F.col("free") > int(capacity * OPEN_SHARE))
-        rest = again.count() if n > GROUP and salt < 3 else 0
+        rest = again.count() if n > GROUP and salt < REPACK else 0
         if rest >= n:  # not one sequence is full: packing the same pieces again gains nothing, so they stay as they are
             rest = 0
         done = packed if not rest else packed.filter(F.col("free") <= int(capacity * OPEN_SHARE))

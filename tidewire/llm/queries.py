@@ -129,19 +129,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few
 OP8_SQL = r"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 h AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, html, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
-  array_to_string([q for q in string_split(regexp_extract(coalesce(url, ''), '^[^?#]*\?([^#]*)', 1), '&') if q <> '' and not regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')], '&') AS query FROM h),
-n AS (SELECT page_id, host, path, host || regexp_replace(path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS node,
-  coalesce(nullif(regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1), ''),
-    nullif(regexp_extract(html, '(?is)<link[^>]*?href\s*=\s*["'']?([^"''\s>]+)[^>]*rel\s*=\s*["'']?canonical', 1), '')) AS target FROM p),
+p AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM h),
+t AS (SELECT page_id, url, coalesce(nullif(regexp_extract(html, '(?is)<link[^>]*rel\s*=\s*["'']?canonical\b[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1), ''),
+    nullif(regexp_extract(html, '(?is)<link[^>]*?href\s*=\s*["'']?([^"''\s>]+)[^>]*rel\s*=\s*["'']?canonical\b', 1), ''),
+    nullif(regexp_extract(html, '(?is)<meta[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*?url\s*=\s*["'']?([^"''\s>]+)', 1), '')) AS target FROM p),
+w AS (SELECT page_id, url, target, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS own_host, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS own_path,
+  regexp_extract(target, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS own, regexp_extract(target, '^([^?#]*)', 1) AS head, regexp_extract(target, '^[^?#]*(.*)$', 1) AS tail FROM t WHERE target IS NOT NULL),
+v AS (SELECT page_id, url, CASE WHEN lower(own) IN ('http', 'https') THEN target WHEN own <> '' OR scheme = '' THEN NULL WHEN starts_with(target, '//') THEN scheme || ':' || target
+  ELSE scheme || '://' || own_host || (CASE WHEN head = '' THEN own_path WHEN starts_with(head, '/') THEN head ELSE regexp_replace(CASE WHEN own_path = '' THEN '/' ELSE own_path END, '[^/]*$', '') || head END) || tail END AS dst FROM w),
+e0 AS (SELECT url AS u, 1 AS side, row_number() OVER () AS k FROM v WHERE dst IS NOT NULL UNION ALL SELECT dst, 2, row_number() OVER () FROM v WHERE dst IS NOT NULL UNION ALL SELECT url, 0, page_id FROM pages),
+e1 AS (SELECT u, side, k, CASE WHEN instr(u, '://') > 0 THEN substr(u, instr(u, '://') + 3) ELSE '' END AS rest FROM e0),
+e2 AS (SELECT side, k, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1), '/+$', '') AS addr,
+  array_to_string([q for q in string_split(regexp_extract(coalesce(u, ''), '^[^?#]*\?([^#]*)', 1), '&') if q <> '' and not regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')], '&') AS query FROM e1),
+e3 AS (SELECT side, k, addr || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS node, regexp_extract(addr, '^([^/?#]*)', 1) AS host, regexp_extract(addr, '^[^/?#]*([^?#]*)', 1) AS path FROM e2),
+e AS (SELECT DISTINCT x.node AS a, y.node AS b FROM e3 x JOIN e3 y ON x.k = y.k AND x.side = 1 AND y.side = 2 WHERE x.node <> y.node AND x.node <> '' AND y.node <> ''),
 f AS (SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS v
-  FROM n JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path) GROUP BY page_id),
-e AS (SELECT node AS a, regexp_replace(regexp_replace(target, '^[^:]*://', ''), '[?#/]+$', '') AS b FROM n WHERE target LIKE '%://%'),
+  FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY page_id),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-bad(node) AS (SELECT node FROM n JOIN f USING (page_id) WHERE v = 'block' UNION SELECT b FROM bad JOIN both_ways ON both_ways.a = bad.node)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN EXISTS (SELECT 1 FROM bad WHERE bad.node = n.node) AND n.node IN (SELECT a FROM both_ways) THEN 'block' ELSE 'allow' END) AS verdict
-FROM n LEFT JOIN f USING (page_id)
+named AS (SELECT node, arg_max(r.verdict, length(r.host || r.path)) AS v FROM (SELECT DISTINCT node, host, path FROM e3 WHERE side > 0) x JOIN rules r ON (x.host = r.host OR ends_with(x.host, '.' || r.host)) AND starts_with(x.path, r.path) GROUP BY node),
+start AS (SELECT node FROM named WHERE v = 'block' UNION SELECT e3.node FROM e3 JOIN f ON e3.side = 0 AND e3.k = f.page_id WHERE f.v = 'block'),
+bad(node) AS (SELECT node FROM start UNION SELECT b FROM bad JOIN both_ways ON both_ways.a = bad.node)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.v, CASE WHEN e3.node IN (SELECT node FROM bad) AND e3.node IN (SELECT a FROM both_ways) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN e3 ON e3.side = 0 AND e3.k = p.page_id LEFT JOIN f ON f.page_id = p.page_id
 """
 
 #: DuckDB SQL over the same tables. Tests hold the others against brute-force versions.

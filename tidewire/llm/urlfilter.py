@@ -5,7 +5,8 @@ to one another or name one another as canonical are aliases: connected component
 every alias that no rule of its own allows. An explicit allow always stands.
 
 Null URL, or one without '://': host and path are empty and no rule fits. Repeated URLs are judged alike. Edges whose
-end is null are left out. An empty table gives no rows.
+end is null are left out. Null pages have no edges. Rules of equal length: the last listed counts. Columns other than the
+id, the URL and the page are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.components import connected_components
+from tidewire.operators.graph import connected_components
+
 
 
 @dataclass(frozen=True)
@@ -73,9 +75,33 @@ def html_target(html: Column) -> Column:
     return F.when(link != "", link).otherwise(fresh)
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its . and .. parts."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    last = F.element_at(F.split(path, "/"), -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, p: F.when(p == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(p == ".", out).otherwise(F.concat(out, F.array(p))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolve(base: Column, target: Column) -> Column:
+    """The absolute address that a target names on a page (RFC 3986); null for other schemes than http and https, and where
+    the page's own address has no scheme."""
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    host = F.regexp_extract(base, r"^[^:/?#]+://([^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    own = F.regexp_extract(target, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    tail = F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    head = F.regexp_extract(target, r"^([^?#]*)", 1)
+    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", "")
+    inside = F.when(head == "", path).when(head.startswith("/"), without_dots(head)).otherwise(without_dots(F.concat(folder, head)))
+    joined = F.when(F.lower(own).isin("http", "https"), target).when(own != "", F.lit(None)).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).otherwise(F.concat(scheme, F.lit("://"), host, inside, tail))
+    return F.when((own != "") | (scheme != ""), joined)
+
+
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) over normal addresses, from canonical links and refreshes to absolute addresses."""
-    out = pages.select(F.col(url).alias("u"), html_target(F.col(html)).alias("t")).filter("t like '%://%'")
+    """(src, dst) over normal addresses, from canonical links and refreshes; relative targets are resolved."""
+    out = pages.select(F.col(url).alias("u"), html_target(F.col(html)).alias("t")).filter("t <> ''")
+    out = out.select("u", resolve(F.col("u"), F.col("t")).alias("t")).filter("t is not null")
     return out.select(normal_url(F.col("u")).alias("src"), normal_url(F.col("t")).alias("dst")).filter("src <> dst and src <> '' and dst <> ''").distinct()
 
 
