@@ -1,12 +1,13 @@
 """Exact substring removal: every byte that lies in a 100-byte string which also starts earlier.
 
-Prefix doubling ranks positions by ever longer prefixes. Ranking every byte would shuffle each of them in every round, so
-here it ranks positions that the text itself samples: a k-gram (k = 32) that is least by hash in some window of
-100 - k + 1 positions. Equal 100-byte strings hold the same sampled positions, so none is lost, and about one position in
-35 is ranked.
+Prefix doubling ranks positions by ever longer prefixes. Ranking every byte would shuffle each of them in every round, which
+a large corpus can't afford (figures in the README). So this is not doubling but winnowing with two fixed ranks: of
+positions that the text itself samples, a k-gram (k = 32) that is least by hash in some window of 100 - k + 1 positions,
+first by the k-gram and then by the whole context. Equal 100-byte strings hold the same sampled positions, so none is
+lost, and about one position in 35 is ranked.
 
 1. Equal texts are grouped by hash; all but the first are repeats whole (if they have 100 bytes).
-2. Round 1 ranks sampled positions by their k-gram; Spark sorts (rank, rank of the context) pairs, where a context is
+2. Sampled positions are ranked by their k-gram; Spark sorts (rank, rank of the context) pairs, where a context is
    all bytes that a 100-byte string around the position can hold: up to 68 before and 100 after. Positions of a unique
    k-gram are past. Of those with equal contexts the later repeat whole contexts.
 3. What remains are k-grams with differing contexts, at the edges of repeats and at edits: every 100-byte string around

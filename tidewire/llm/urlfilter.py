@@ -72,7 +72,8 @@ def html_target(html: Column) -> Column:
     """The address that a page names as canonical, or else refreshes to; '' where there is none."""
     link = F.regexp_extract(html, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     fresh = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*http-equiv\s*=\s*[\"']?refresh\b)[^>]*?url\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    return F.when(link != "", link).otherwise(fresh)
+    # Most pages name none: one look for the words spares them the patterns.
+    return F.when(html.rlike("(?i)canonical|refresh"), F.when(link != "", link).otherwise(fresh)).otherwise("")
 
 
 def without_dots(path: Column) -> Column:
