@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire import schemas
+from tidewire.functions.text import domain_of
 from tidewire.operators import relational as R
 from tidewire.sources import connectors
 
@@ -105,6 +106,23 @@ def collect_cycle(bodies: DataFrame, kind: str, at: Column) -> tuple[DataFrame,
     return got, outcomes.select("source_id", at.alias("at"), ok.alias("ok"), "n_items", why.alias("error"))
 
 
+def permitted(requests: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+    """requests (url, ...) that the robots files (domain, rules) let an agent make; a domain without a file lets all."""
+    at = requests.withColumn("_domain", domain_of(F.col("url")))
+    joined = at.join(robots.select(F.col("domain").alias("_domain"), F.col("rules").alias("_rules")), "_domain", "left")
+    return joined.filter(F.col("_rules").isNull() | connectors.robots_allow("_rules", F.lit(agent), "url")).drop("_domain", "_rules")
+
+
+def changed(fetched: DataFrame, seen: DataFrame) -> DataFrame:
+    """fetched (url, http_status, etag, last_modified, ...) that is new: not answered 304, and of another etag, or without
+    etags of another time, than seen (url, etag, last_modified) last."""
+    old = seen.select(F.col("url").alias("_u"), F.col("etag").alias("_e"), F.col("last_modified").alias("_m"))
+    same_tag = F.col("etag") == F.col("_e")
+    same = F.coalesce(same_tag, F.col("last_modified") == F.col("_m"), F.lit(False))
+    joined = fetched.filter("http_status is null or http_status <> 304").join(old, F.col("url") == F.col("_u"), "left")
+    return joined.filter(~same).drop("_u", "_e", "_m")
+
+
 # --- read models ------------------------------------------------------------------------------------------------------
 
 #: The columns that each list of the API shows.

@@ -144,6 +144,20 @@ def robots_check(spark, d):
     return p.select("page_id", connectors.robots_allow(F.lit(rules), F.lit("Tidebot/1.0"), F.col("url")).alias("allowed"))
 
 
+@query("conditional_fetch", """WITH r AS (SELECT c_custkey AS id, 'http://s' || (c_custkey % 9) || '.example/' || CASE WHEN c_custkey % 4 = 0 THEN 'private/' ELSE 'feed/' END || c_custkey AS url, c_custkey AS k FROM customer)
+SELECT id, url FROM r WHERE NOT (k % 9 < 3 AND k % 4 = 0) AND k % 10 <> 1 AND NOT (k % 5 = 2) AND NOT (k % 5 = 3 AND k % 2 = 0)""")
+def conditional_fetch(spark, d):
+    """Three sites of nine shut their private folder; one answer in ten is 304; some have the tag, or the time, of last time."""
+    k = F.col("c_custkey")
+    folder = F.when(k % 4 == 0, "private/").otherwise("feed/")
+    asked = views.table(spark, d, "customer").select(k.alias("id"), F.concat(F.lit("http://s"), k % 9, F.lit(".example/"), folder, k).alias("url"))
+    robots = spark.range(3).select(F.concat(F.lit("s"), "id", F.lit(".example")).alias("domain"), F.lit("User-agent: *\nDisallow: /private/").alias("rules"))
+    n = F.col("id")
+    got = sources.permitted(asked, robots, "tidebot").withColumn("http_status", F.when(n % 10 == 1, 304).otherwise(200)).withColumn("etag", F.when(n % 5 != 3, F.concat(F.lit("e"), n))).withColumn("last_modified", F.timestamp_seconds(n))
+    seen = asked.select("url", F.when(n % 5 == 2, F.concat(F.lit("e"), n)).when(n % 5 != 3, F.lit("old")).alias("etag"), F.when(n % 2 == 0, F.timestamp_seconds(n)).otherwise(F.timestamp_seconds(n + 1)).alias("last_modified"))
+    return sources.changed(got, seen).select("id", "url")
+
+
 # --- feeds ------------------------------------------------------------------------------------------------------------
 
 
