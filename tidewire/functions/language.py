@@ -1,11 +1,13 @@
-"""Language of a text by profiles of letter n-grams (Cavnar and Trenkle 1994), and by script where that is enough."""
+"""Language of a text by letter n-grams (Dunning 1994): the one whose n-grams make its words likeliest; by script where that is
+enough."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import cache
+from functools import cache, lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,38 +35,45 @@ SAMPLES = {
 SCRIPTS = (("ja", "\u3040-\u30ff"), ("ko", "\uac00-\ud7af\u1100-\u11ff"), ("zh", "\u4e00-\u9fff"), ("ru", "\u0400-\u04ff"), ("ar", "\u0600-\u06ff"), ("he", "\u0590-\u05ff"), ("el", "\u0370-\u03ff"), ("hi", "\u0900-\u097f"), ("th", "\u0e00-\u0e7f"))
 SCRIPT = [(k, re.compile(f"[{r}]")) for k, r in SCRIPTS]
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Ranks of a profile.
-RANKS = 400
+SMOOTH, ORDERS = 0.05, (1, 2, 3, 4)
+CODES = sorted(SAMPLES)
 
 
-def grams(text: str) -> Counter:
-    """1- to 4-grams of the words, padded by a blank on either side."""
-    out: Counter = Counter()
-    for w in LETTERS.findall(text.lower()):
-        w = f" {w} "
-        for n in (1, 2, 3, 4):
-            out.update(w[i : i + n] for i in range(len(w) - n + 1))
-    del out[" "]
-    return out
+def grams(word: str) -> list[str]:
+    """The 1- to 4-grams of a word, padded by a blank on either side."""
+    w = f" {word} "
+    return [g for n in ORDERS for i in range(len(w) - n + 1) if (g := w[i : i + n]) != " "]
 
 
 @cache
-def profiles() -> dict[str, dict[str, int]]:
-    return {k: {g: r for r, (g, _) in enumerate(sorted(grams(t).items(), key=lambda x: (-x[1], x[0]))[:RANKS])} for k, t in SAMPLES.items()}
+def model() -> tuple[dict[str, np.ndarray], dict[int, np.ndarray]]:
+    """(log probability of each known n-gram by language, and of an unknown one by its length)."""
+    counts = {k: Counter(g for w in LETTERS.findall(SAMPLES[k].lower()) for g in grams(w)) for k in CODES}
+    known = sorted({g for c in counts.values() for g in c})
+    total = {n: np.array([sum(c for g, c in counts[k].items() if len(g) == n) for k in CODES], float) for n in ORDERS}
+    size = {n: 1 + sum(len(g) == n for g in known) for n in ORDERS}
+    at = lambda n, c: np.log((c + SMOOTH) / (total[n] + SMOOTH * size[n]))
+    return {g: at(len(g), np.array([counts[k][g] for k in CODES], float)) for g in known}, {n: at(n, 0.0) for n in ORDERS}
+
+
+@lru_cache(maxsize=200_000)
+def word_score(word: str) -> np.ndarray:
+    known, unknown = model()
+    return np.sum([known[g] if g in known else unknown[len(g)] for g in grams(word)], axis=0)
 
 
 def language_of(text: str | None) -> str | None:
-    """A language's code; None for under three characters or no letters. By script, else the profile with the nearest ranks."""
+    """A language's code; None for under three characters or no letters."""
     text = (text or "").strip()
-    letters = sum(map(len, LETTERS.findall(text)))
+    words = Counter(LETTERS.findall(text.lower()))
+    letters = sum(len(w) * n for w, n in words.items())
     if len(text) < 3 or not letters:
         return None
     for code, pattern in SCRIPT:
         if 3 * len(pattern.findall(text)) >= letters:
             return code
-    own = sorted(grams(text).items(), key=lambda x: (-x[1], x[0]))[:RANKS]
-    apart = {k: sum(abs(p[g] - r) if g in p else RANKS for r, (g, _) in enumerate(own)) for k, p in profiles().items()}
-    return min(apart, key=lambda k: (apart[k], k))
+    scores = np.array(list(words.values()), float) @ np.stack([word_score(w) for w in words])
+    return CODES[int(np.argmax(scores))]
 
 
 @F.pandas_udf(T.StringType())
