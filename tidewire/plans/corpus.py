@@ -77,7 +77,17 @@ def nearest_event(spark, d):
     return neighbours.nearest_event(a, event_centroids(spark, d), 0.3).withColumn("similarity", F.round("similarity", 4))
 
 
-@query("leader_clusters")
+#: The clusters so far as lists, one step of the recursion an article.
+LEADER_SQL = """WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings WHERE embedding IS NOT NULL),
+s(i, id, event_id, similarity, is_seed, ids, ns, means) AS (SELECT 0::BIGINT, -1::BIGINT, -1::BIGINT, 0::DOUBLE, false, []::BIGINT[], []::BIGINT[], []::DOUBLE[][]
+  UNION ALL SELECT v.i, v.id, CASE WHEN k.hit THEN s.ids[k.j] ELSE v.id END, CASE WHEN k.hit THEN k.sim ELSE 1 END, NOT k.hit, CASE WHEN k.hit THEN s.ids ELSE list_append(s.ids, v.id) END,
+  CASE WHEN k.hit THEN list_transform(s.ns, lambda n, q: n + (q = k.j)::INT) ELSE list_append(s.ns, 1) END,
+  CASE WHEN k.hit THEN list_transform(s.means, lambda m, q: CASE WHEN q = k.j THEN list_transform(m, lambda x, d: (x * s.ns[q] + v.e[d]) / (s.ns[q] + 1)) ELSE m END) ELSE list_append(s.means, v.e) END
+  FROM s JOIN v ON v.i = s.i + 1, LATERAL (SELECT list_transform(s.means, lambda m: list_cosine_similarity(m, v.e)) AS c) c, LATERAL (SELECT list_max(c.c) AS sim, list_position(c.c, list_max(c.c)) AS j, coalesce(list_max(c.c) >= 3e-1, false) AS hit) k)
+SELECT id, event_id, round(similarity, 6) AS similarity, is_seed FROM s WHERE i > 0"""
+
+
+@query("leader_clusters", LEADER_SQL)
 def leader_clusters(spark, d):
     a = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return neighbours.leader_clusters(a, 0.3).withColumn("similarity", F.round("similarity", 6))
@@ -261,7 +271,12 @@ def json_projection(spark, d):
     return links.join(dim, "keyword_id").select("article_id", "term", rounded("weight"))
 
 
-@query("entity_projection")
+ENTITIES_SQL = f"""{A}, t AS (SELECT id, regexp_extract_all(concat_ws(chr(10), title, body), '[a-zà-ÿ,;] ([A-ZÀ-Ý][\\p{{L}}\\p{{N}}_]+(?: [A-ZÀ-Ý][\\p{{L}}\\p{{N}}_]+)*)', 1) AS m FROM articles), u AS (SELECT id, unnest(m) AS name, unnest(range(len(m))) AS pos FROM t),
+c AS (SELECT id, name, count(*) AS c, min(pos) AS pos FROM u GROUP BY id, name), r AS (SELECT *, max(c) OVER (PARTITION BY id) AS most, row_number() OVER (PARTITION BY id ORDER BY c DESC, pos) AS rn FROM c)
+SELECT id AS article_id, name, round(c / most, 4) AS salience, c::BIGINT AS count FROM r WHERE rn <= 20"""
+
+
+@query("entity_projection", ENTITIES_SQL)
 def entity_projection(spark, d):
     dim, links = store.project_entities(analysis(spark, d, ("entities",)))
     return links.join(dim, "entity_id").select("article_id", "name", F.round("salience", 4).alias("salience"), "count")
