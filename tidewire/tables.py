@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder where a local session names none (tests). On a cluster it must be named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidewire-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -24,7 +25,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df and read it back: what made it runs once, lineage is cut, and a lost executor loses nothing. And the folder."""
+    """Write df and read it back: what made it runs once, lineage is cut, and a lost executor loses nothing. And the folder,
+    which stays until drop_folder(), or until whoever owns the shared folder clears it."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
