@@ -201,3 +201,18 @@ def test_best_fit_equals_a_plain_version(rule):
     for k in range(made):
         own = lengths[got == k]
         assert own.sum() <= 100 and len(own) <= 4 and ((own**2).sum() <= 6000 or len(own) == 1)
+
+
+def test_words_of_any_characters_get_the_tokenizers_ids():
+    """Marks, controls, emoji and unassigned characters at the edges of words, many words at once."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    pool = [*"abzAZ09.,-_'<>|#\u0301\u0308\u200b\u200d\ufeff\u00a0\u2028\u00df\u0130\u4e2d\u0e01\ufffd\U0001f600\U0001f468\u00ad\x00\x1c\x85\u1e9b\u0323"]
+    texts = [" ".join("".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    whole = Tokenizer.from_file(queries.tokenizer_path())
+    got = packing.word_encoder(queries.tokenizer_path())([t.encode() for t in texts])
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t

@@ -65,8 +65,15 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
         long: list[bytes] = []
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
-            for word, made in zip(part, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                cache[word] = np.array(made.ids, "<u4").tobytes()
+            # All as one text, a word a line; a token belongs to the line in which it begins.
+            lines = [w.decode("utf-8", "replace") for w in part]
+            made = tokenizer.encode("\n".join(lines), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)
+            begins = np.fromiter((o[0] for o in made.offsets), np.int64, len(made.ids))
+            raw, low = np.array(made.ids, "<u4").tobytes(), 0
+            for word, high in zip(part, (4 * np.searchsorted(begins, ends)).tolist(), strict=True):
+                cache[word] = raw[low:high]
+                low = high
                 if len(word) > CACHE_BYTES:
                     long.append(word)
         get = cache.__getitem__
