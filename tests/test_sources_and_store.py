@@ -162,3 +162,16 @@ def test_token_buckets():
     ok, tokens, last = streams.take([0, 100_000, 200_000, 2_200_000, 10_000_000], 0.5, 2.0)
     assert ok == [True, True, False, True, True] and last == 10_000_000
     assert streams.take([3_000_000], 0.5, 2.0, tokens, last)[0] == [True] and streams.time_to_live(0.5, 2) == 5
+
+
+def test_page_titles_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from tidewire import plans
+
+    pages = ["<title> a \u00a0</title>", "<title>say &quot;x</title>", "<title>\nb</title>", ARTICLE, "", None, "<h1>no title</h1>", "<title></title>", '<title>"c"</title><svg><title>d</title></svg>']
+    spark.createDataFrame([(i, "http://a.org/", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = duckdb.sql(plans.ORACLES["page_titles"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    got = plans.QUERIES["page_titles"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 7
+    assert html.extract_article(pages[1], "")["title"] == 'say "x'
