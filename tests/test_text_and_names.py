@@ -186,3 +186,32 @@ def test_languages(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(trim(text)) >= 20")
     right = df.select((language.detect_language("text") == F.col("lang")).alias("ok")).agg(F.avg(F.col("ok").cast("int"))).first()[0]
     assert right >= 0.97
+
+
+CATALOG = "id bigint, name string, type string, aliases array<string>"
+
+
+def copied_catalog(n: int, seed: int) -> list[tuple]:
+    """Rows of few names, with types, aliases and nulls."""
+    import random
+
+    rng = random.Random(seed)
+    base = ["Acme Steel Inc.", "Acme Steel", "acme stel", "Zenith Harbor Co., Ltd.", "Zenith Harbour", "Nordic Pacific", "Pacific Nordic", "ab", "", None, "--"]
+    return [(k, rng.choice(base), rng.choice(["org", "org", "place", "", None]), rng.choice([None, [], ["AS"], ["AS", "Acme"], ["Nordic Pacific"]])) for k in range(n)]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_pairs_of_copied_names_meet_once_and_without_a_shuffle_of_all_pairs(spark):
+    rows = copied_catalog(120, 1)
+    df = spark.createDataFrame(rows, CATALOG)
+    keys = {k: set(names.block_keys(n, t)) for k, n, t, _ in rows}
+    want = {(a, b) for a in keys for b in keys if a % 10 == 0 and keys[a] & keys[b]}
+    out = entities.candidate_pairs(df.filter("id % 10 = 0"), df)
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+    assert "Aggregate" not in plan_of(out) and "BroadcastHashJoin" not in plan_of(out)
+    again = entities.candidate_pairs(df.filter("id % 10 = 0").unionByName(df.filter("id = 0")), df).collect()
+    assert sorted(map(tuple, again)) == sorted(want)
