@@ -215,3 +215,21 @@ def test_pairs_of_copied_names_meet_once_and_without_a_shuffle_of_all_pairs(spar
     assert "Aggregate" not in plan_of(out) and "BroadcastHashJoin" not in plan_of(out)
     again = entities.candidate_pairs(df.filter("id % 10 = 0").unionByName(df.filter("id = 0")), df).collect()
     assert sorted(map(tuple, again)) == sorted(want)
+
+
+def test_each_pair_of_sides_is_scored_once(spark, monkeypatch):
+    rows = copied_catalog(150, 2)
+    df = spark.createDataFrame(rows, CATALOG)
+    side = lambda r: {"name": r[1], "type": r[2], "aliases": r[3]}
+    keys = {r[0]: set(names.block_keys(r[1], r[2])) for r in rows}
+    want = {}
+    for a in rows[::10]:
+        found = [(names.match_score(side(a), side(b)), -b[0]) for b in rows if keys[a[0]] & keys[b[0]]]
+        if found and max(found)[0] >= 0.8:
+            want[a[0]] = (-max(found)[1], pytest.approx(max(found)[0]))
+    asked, real = [], entities.candidate_pairs
+    monkeypatch.setattr(entities, "candidate_pairs", lambda l, r: (asked.append((l.count(), r.count())), real(l, r))[1])
+    got = entities.match(df.filter("id % 10 = 0"), df, 0.8).collect()
+    assert {r["left_id"]: (r["right_id"], r["score"]) for r in got} == want and len(want) > 5
+    distinct = len({(n or "", t or "", tuple(a or ())) for _, n, t, a in rows})
+    assert asked[0][1] == distinct < len(rows)
