@@ -233,3 +233,27 @@ def test_each_pair_of_sides_is_scored_once(spark, monkeypatch):
     assert {r["left_id"]: (r["right_id"], r["score"]) for r in got} == want and len(want) > 5
     distinct = len({(n or "", t or "", tuple(a or ())) for _, n, t, a in rows})
     assert asked[0][1] == distinct < len(rows)
+
+
+def test_candidates_of_copied_rows_are_the_best_rows(spark, monkeypatch):
+    rows = copied_catalog(200, 3)
+    df = spark.createDataFrame(rows, CATALOG)
+    grams = {r["id"]: set(r["g"]) for r in df.select("id", text.trigrams(F.col("name")).alias("g")).collect()}
+    first = lambda n: ((n or "").strip().lower().split() or [""])[0]
+    want = {}
+    for q, qn, qt, qa in rows[::10]:
+        found = []
+        for c, cn, ct, ca in rows:
+            either = grams[q] | grams[c]
+            s = len(grams[q] & grams[c]) / len(either) if either else 0.0
+            fits = (qt is not None and qt == ct) or qt in ("", "unknown") or ct in ("", "unknown")
+            if fits and (s > 0.396 or qn in (ca or []) and qn is not None or first(qn) and first(qn) == first(cn) or set(qa or []) & set(ca or [])):
+                found.append((-s, c))
+        want |= {(q, c): pytest.approx(-s) for s, c in sorted(found)[:7]}
+    out, plans = [], []
+    real = entities.written
+    monkeypatch.setattr(entities, "written", lambda d, n: (plans.append(plan_of(d)), real(d, n))[1])
+    out = entities.candidates(df.filter("id % 10 = 0"), df, most=7)
+    got = {(r["query_id"], r["id"]): r["similarity"] for r in out.collect()}
+    assert got == want and len(want) > 60
+    assert not any("BroadcastHashJoin" in p for p in [*plans, plan_of(out)])
