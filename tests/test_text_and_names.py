@@ -257,3 +257,14 @@ def test_candidates_of_copied_rows_are_the_best_rows(spark, monkeypatch):
     got = {(r["query_id"], r["id"]): r["similarity"] for r in out.collect()}
     assert got == want and len(want) > 60
     assert not any("BroadcastHashJoin" in p for p in [*plans, plan_of(out)])
+
+
+def test_near_duplicates_broadcast_no_exploded_keys(spark):
+    rows = [(k, (k * 0x9E3779B97F4A7C15 & (1 << 62) - 1) ^ (1 if k % 2 else 0)) for k in range(40)] + [(40 + k, 7 << k % 3) for k in range(6)]
+    out = neighbours.near_duplicates(spark.createDataFrame(rows, "id bigint, simhash bigint"))
+    first = {}
+    for k, h in rows:
+        first.setdefault(h, k)
+    want = {(first[h], k, 0) for k, h in rows if first[h] != k} | {(a, b, (x ^ y).bit_count()) for x, a in first.items() for y, b in first.items() if a < b and (x ^ y).bit_count() <= 3}
+    assert sorted(map(tuple, out.collect())) == sorted(want) and want
+    assert "BroadcastHashJoin" not in plan_of(out)

@@ -34,11 +34,12 @@ def near_duplicates(hashes: DataFrame, most: int = 3) -> DataFrame:
     """
     hashes = written(hashes.filter("simhash is not null").select("id", "simhash"), "hashes")
     groups = hashes.groupBy("simhash").agg(F.min("id").alias("first"))
-    copies = hashes.join(groups, "simhash").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+    # Sizes are guessed from the written file, which is smaller by far than its rows' keys in memory: no side is broadcast.
+    copies = hashes.join(groups.hint("merge"), "simhash").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
     keyed = groups.select("first", "simhash", F.explode(block_keys("simhash", most)).alias("x")).select("first", "simhash", "x.choice", "x.key")
     other = keyed.select(F.col("first").alias("b"), F.col("simhash").alias("h"), "choice", "key")
     near = (F.col("first") < F.col("b")) & (text.hamming(F.col("simhash"), F.col("h")) <= most)
-    pairs = keyed.join(other, ["choice", "key"]).filter(near).select(F.col("first").alias("a"), "b", text.hamming(F.col("simhash"), F.col("h")).alias("distance")).distinct()
+    pairs = keyed.join(other.hint("merge"), ["choice", "key"]).filter(near).select(F.col("first").alias("a"), "b", text.hamming(F.col("simhash"), F.col("h")).alias("distance")).distinct()
     return pairs.unionByName(copies)
 
 
