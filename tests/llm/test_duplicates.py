@@ -113,6 +113,15 @@ def test_partners_share_first_shingles_of_their_differences(percent):
     assert seen > 300
 
 
+@pytest.mark.parametrize("sampled", ["none", "backwards"])
+def test_classes_do_not_depend_on_the_sample(spark, monkeypatch, sampled):
+    rows = corpus(7) + chain(4)
+    found = jaccard_join.frequent_shingles
+    monkeypatch.setattr(jaccard_join, "frequent_shingles", lambda *a: found(*a)[:0] if sampled == "none" else found(*a)[::-1].copy())
+    got = sorted(map(tuple, jaccard_join.similarity_classes(frame(spark, rows), 5, 80).collect()))
+    assert got == sorted(classes(rows, 5, 80))
+
+
 def test_classes_of_no_rows(spark):
     assert jaccard_join.similarity_classes(frame(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard_join.similarity_classes(frame(spark, [(1, None), (2, "")])).orderBy("doc_id").collect()] == [(1, 0, 1), (2, 0, 2)]
