@@ -358,3 +358,53 @@ def test_recall_of_passages_at_every_similarity(spark):
     found = {r["doc_id"] // 2 for r in substring.near_passages(frame(spark, rows)).collect()}
     near = {k for k, s in planted.items() if s >= 0.8}
     assert len(near) > 60 and len(near & found) >= 0.98 * len(near)
+
+
+@pytest.mark.parametrize("long", [32, 2])
+def test_passages_are_found_whose_signatures_others_held_before(spark, monkeypatch, long):
+    """Passages of phrases that earlier texts hold one by one, with surroundings of their own: no first of a signature is near."""
+    monkeypatch.setattr(substring, "LONG", long)
+    rng = random.Random(31)
+    rows, want = [], set()
+    for k in range(30):
+        parts = [prose(rng, 30, 5000).split() for _ in range(3)]
+        around = lambda t: f"{prose(rng, 25, 5000)} {t} {prose(rng, 25, 5000)}"
+        # Each of these holds two neighbouring phrases' words around their meeting, and less than 50 words of the passage.
+        known = [parts[0], parts[1], parts[2], parts[0][15:] + parts[1][:15], parts[1][15:] + parts[2][:15]]
+        rows += [(10 * k + i, around(" ".join(x))) for i, x in enumerate(known)]
+        rows += [(10 * k + i, around(" ".join(sum(parts, [])))) for i in (8, 9)]
+        want.add((10 * k + 9, 10 * k + 8))
+    found = {(r["doc_id"], r["source_doc_id"]) for r in substring.near_passages(frame(spark, rows)).collect()}
+    assert want <= found
+
+
+def test_long_lists_leave_no_words_out():
+    """Every word that a comparison with any stretch before covers is covered by those that long_list() names."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    phrases = [rng.integers(1, 1 << 60, 30).astype(np.uint64) for _ in range(8)]
+    tokens = []
+    for _ in range(40):
+        x = np.concatenate([phrases[i] for i in rng.choice(8, 3, replace=False)])
+        x[rng.integers(0, 90, 6)] = rng.integers(1, 1 << 60, 6)
+        tokens.append(x)
+
+    def words(pairs):
+        return {(b, w) for a, b in pairs for s, e, *_ in substring.passages(tokens[a], tokens[b], 0, 90, 46, 0.8) for w in range(s, e)}
+
+    named = [(int(a), int(b)) for x, y in substring.long_list(tokens, 46, 0.8) for a, b in zip(x, y, strict=True)]
+    shared = lambda pairs: {(b, w) for b, w in words(pairs) if sum(tokens[b][w] in t for t in tokens) > 1}
+    every = [(a, b) for b in range(40) for a in range(b)]
+    assert shared(named) == shared(every) and 0 < len(named) < len(every) / 4
+
+
+def test_texts_meet_all_with_all_on_two_signatures(spark):
+    """Three texts with other tokens around: stars() gives no pair of the second and third."""
+    boxes = [(sig, -1, d, 10 * d, 0, (60 + d) << 32, 30, 0, 7 * d) for d in (1, 2, 3) for sig in (8, 17)] + [(24, -1, 2, 20, 0, 60 << 32, 30, 0, 5)]
+    kept = substring.shared(spark.createDataFrame(boxes, substring.BOXES).coalesce(1).sortWithinPartitions("sig", "salt"))
+    met = substring.meetings(kept.sortWithinPartitions("doc_id", "th", "l"), 46)
+    found = substring.pairs_of(met.sortWithinPartitions("sigs", "body", "doc_id", "th")).collect()
+    assert sorted((r["a_doc"], r["b_doc"]) for r in found) == [(1, 2), (1, 3), (2, 3)]
+    windows = spark.createDataFrame([(8, -1, d, 10 * d, 0, 60 + d, d << 16 | d) for d in (1, 2, 3)], substring.WINDOWS)
+    assert (2, 3) not in {(r["a_doc"], r["b_doc"]) for r in substring.stars(windows.coalesce(1).sortWithinPartitions("sig", "salt", "doc_id", "th", "l")).collect()}
