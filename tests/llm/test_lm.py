@@ -51,3 +51,36 @@ def test_empty_and_null(spark):
     assert lm_score.lm_scores(frame(spark, [])).count() == 0
     out = lm_score.lm_scores(frame(spark, [(1, None), (2, ""), (2, "")])).collect()
     assert sorted((r["doc_id"], r["n_tokens"]) for r in out) == [(1, 1), (2, 1), (2, 1)]
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 300])
+def test_pairs_of_words_reach_the_words(spark, monkeypatch, pairs):
+    monkeypatch.setattr(lm_score, "PAIRS", pairs)
+    rng = np.random.default_rng(1)
+    words_in_order = [f"{a}{b}end" for a in "bcdfghklmn" for b in "aeiouyrstw"]  # one spelling of the end: one class
+
+    def text(in_order):
+        k = rng.integers(100, size=60) if not in_order else (rng.integers(100) + np.arange(60)) % 100
+        return " ".join(words_in_order[i] for i in k)
+
+    held = [d for d in range(2000) if held_out(d)][:40]
+    rows = [(d, text(True)) for d in range(300) if not held_out(d)] + [(d, text(k % 2 == 0)) for k, d in enumerate(held)]
+    scores = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm_score.lm_scores(frame(spark, rows)).collect()}
+    assert len(scores) == len(rows)
+    assert np.mean([scores[d] for d in held[::2]]) > np.mean([scores[d] for d in held[1::2]]) + 1
+
+
+def test_gains_of_a_context_keep_its_sum():
+    rng = np.random.default_rng(2)
+    inside = np.log10(rng.dirichlet(np.ones(50), 8)).ravel()
+    n = rng.integers(0, 4, 400) * rng.integers(0, 9, 400)
+    total = np.repeat(n.reshape(8, 50).sum(axis=1), 50)
+    whole = 10.0 ** (inside + lm_score.gains(n, total, inside))
+    assert np.allclose(whole.reshape(8, 50).sum(axis=1), 1, atol=1e-4)
+
+
+def test_split_texts_like_bytes_split():
+    texts = [b"", b"  a B\tc.\n", b"\x0b\x0c", b"x", "Ünï. cödé\u00a0t".encode(), b"one, two!? ..."]
+    got, lengths = lm_score.split_texts(texts)
+    assert got.to_pylist() == [w for t in texts for w in t.lower().split()]
+    assert lengths.tolist() == [len(t.split()) for t in texts]
