@@ -29,7 +29,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -48,7 +48,7 @@ SMOOTH = 0.1
 #: Words whose pairs with the next word are counted by every task, as one group of pairs could not hold them.
 DENSE = 32
 #: Pairs of a group, and of what a task holds before it deals them.
-PAIRS = 1 << 20
+PAIRS = 1 << 19
 PRIORS = np.array([4, 16, 64, 256, 1024, 4096, 1 << 16, 1 << 24], np.float32)
 #: Different words that a task counts before it sends them on.
 COUNTED = 400_000
@@ -106,7 +106,7 @@ def with_ends(codes: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndar
     return out, np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]), places
 
 
-def parts_of(texts: list[bytes], most: int = 4 << 20) -> Iterator[slice]:
+def parts_of(texts: list[bytes], most: int = 2 << 20) -> Iterator[slice]:
     """Stretches of texts of bounded size."""
     low = size = 0
     for k, t in enumerate(texts):
@@ -155,6 +155,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield from flush()
         if held:
             yield from flush()
+        pa.default_memory_pool().release_unused()
         seen = np.flatnonzero(pairs)
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.array([b" %d" % k for k in seen], pa.binary()), pa.array(np.full(len(seen), -1, np.int32)), pa.array(pairs[seen])], names=names)
@@ -446,13 +447,15 @@ def two_longs(names: bytes) -> np.ndarray:
     return np.frombuffer(names, np.int64).reshape(-1, 2)
 
 
-def pair_gains(docs: DataFrame, model: Model, shared, tokens: int) -> DataFrame:
+def pair_gains(docs: DataFrame, model: Model, tokens: int) -> DataFrame:
     """(name_a, name_b, gain): what pairs of words add to the score of each text, frequent first words aside, which `dense` has.
 
     Pairs are dealt by their first word into as many groups as the corpus asks for, each with all tokens after its words; a
     group counts its pairs, fits them and scores its tokens. A row holds the pairs of many texts in packed arrays."""
     import pickle
 
+    # Tasks of pairs need no weights of the class stage, so they don't hold them.
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(replace(model, weights=None, dense=None)))
     groups = int(min(1 << 15, 1 + tokens // PAIRS))
     wide = model.head + CLASSES
     read: list[Model] = []  # filled by each worker
@@ -520,7 +523,7 @@ def pair_gains(docs: DataFrame, model: Model, shared, tokens: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         n = np.add.reduceat((owner[order] & 1).astype(np.int64), first)
         word, before = key[first] % wide, key[first] // wide
-        _, context = np.unique(before, return_inverse=True)
+        context = np.cumsum(np.diff(before, prepend=before[0]) != 0)  # the keys are in order
         context = context * CLASSES + m.class_of_id[word]
         total = np.bincount(context, n)[context]
         gain = gains(n, total, m.in_class[m.class_of_id[before], word])
@@ -543,16 +546,20 @@ def pair_gains(docs: DataFrame, model: Model, shared, tokens: int) -> DataFrame:
 
     dealt = docs.select("doc_id", "text").mapInArrow(deal, schema_of("pairs int, block binary, low binary, high binary, owner binary, names binary"))
     scored = dealt.groupBy("pairs").applyInPandas(score, schema_of("block binary, owner binary, gain binary, names binary"))
-    return scored.groupBy("block").applyInPandas(collect, schema_of("name_a bigint, name_b bigint, gain double")).groupBy("name_a", "name_b").agg(F.max("gain").alias("gain"))
+    gained = scored.groupBy("block").applyInPandas(collect, schema_of("name_a bigint, name_b bigint, gain double")).groupBy("name_a", "name_b").agg(F.max("gain").alias("gain"))
+    gained = materialize(gained, "lm-gains")  # before the texts' scores, so tasks of both don't share an executor's memory
+    shared.unpersist()
+    return gained
 
 
 SCORES = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, model double, word binary, times bigint, cls int, name_a bigint, name_b bigint"
 
 
-def score_texts(docs: DataFrame, shared) -> DataFrame:
+def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """A row a text with what the head gives, and a row for each rarer word in it; uid names the text within this plan."""
     import pickle
 
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     schema = schema_of(SCORES)
 
     def run(batches):
@@ -605,8 +612,6 @@ def score_texts(docs: DataFrame, shared) -> DataFrame:
 
 def lm_scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text; log10."""
-    import pickle
-
     from tidewire.llm.common import small_batches
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -644,9 +649,8 @@ def lm_scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFr
     rest = tail.join(F.broadcast(classes), "bucket").groupBy("cls").agg(F.sum("n").alias("rest_n"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"), F.count("*").alias("rest_v"))
     off = F.greatest(F.lit(0.05), F.least(F.lit(0.95), (F.col("once") + 1) / (F.col("once") + 2 * F.col("twice") + 2)))
     rest = F.broadcast(rest.select("cls", "rest_n", "rest_v", off.alias("off")))
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    gained = pair_gains(docs, model, shared, n)
-    scored = score_texts(docs, shared)
+    gained = pair_gains(docs, model, n)
+    scored = score_texts(docs, model)
     # The head's words are never looked up here, so no key of this join is a frequent word.
     joined = scored.join(words.select("word", F.col("n").alias("c")), "word", "left").join(rest, "cls", "left")
     bottom = n + SMOOTH * (v + 1)
