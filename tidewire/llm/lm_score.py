@@ -1,6 +1,6 @@
 """Scoring by a hashed maximum-entropy language model.
 
-P(word | history) = P(class of word | history) * P(word | its class, class of the word before).
+P(word | history) = P(class of word | history) * P(word | its class, word before).
 
 * Classes come from the spelling of a word's end: endings fall into buckets, and buckets whose successors are alike
   join one class. So every word, seen or not, has a class, and the class of a history tells much about its language.
@@ -16,9 +16,15 @@ The probabilities of all words and of an unseen word of each class add up to one
 keeps one place for unseen words. Counts of all words are aggregated by Spark and never leave it: only the head of the
 vocabulary (`head`, a parameter) is broadcast; counts of rarer words meet the texts in a join.
 
-What grows with the corpus: the counts of all words, which decide the words' probabilities, and the counts of words by
-preceding class. What doesn't: the hashed table of the class stage (2^14 rows) and the head of the vocabulary, both
-parameters of this module; n-gram and skip features tell classes apart, not the words of a class.
+* The word before, if it is in the head, adds a weight for each pair of words to the word stage: the optimum on the pairs'
+  counts under pseudo-observations of the stage without it, their number chosen by what foretells training tokens left out.
+  Pairs are dealt by their first word into groups, which count, fit and score them; the DENSE most frequent first words have
+  a table that is broadcast.
+
+What grows with the corpus: the counts of all words, which decide the words' probabilities, and the pairs of words, in as many
+groups as there are PAIRS tokens (2^15 at most, then groups grow). What doesn't: the hashed table of the class stage (2^16
+rows) and the head of the vocabulary (2^17 words); skip features and pairs together tell classes apart, not the words of a
+class, and a word outside the head is known to the next one by its class alone.
 
 Null and empty texts: the end token alone. Repeated rows are scored one by one. Words of equal counts enter the head in
 order of their bytes. Columns other than the id and the text are not read. An empty table gives no rows.
