@@ -408,3 +408,29 @@ def test_texts_meet_all_with_all_on_two_signatures(spark):
     assert sorted((r["a_doc"], r["b_doc"]) for r in found) == [(1, 2), (1, 3), (2, 3)]
     windows = spark.createDataFrame([(8, -1, d, 10 * d, 0, 60 + d, d << 16 | d) for d in (1, 2, 3)], substring.WINDOWS)
     assert (2, 3) not in {(r["a_doc"], r["b_doc"]) for r in substring.stars(windows.coalesce(1).sortWithinPartitions("sig", "salt", "doc_id", "th", "l")).collect()}
+
+
+def test_copies_in_many_long_lists_are_compared_once(spark):
+    """40 copies share 10 pairs of signatures: one list, not 10; its stretches bound those of all."""
+    met = [(sigs, d, 10 * d, (3 + k) << 32, (90 - k) << 32, 7 * d + sigs) for k, sigs in enumerate(range(100, 110)) for d in range(1, 41)]
+    met += [(200, d, 10 * d, 5000 << 32, 5060 << 32, d) for d in range(1, 41)]  # elsewhere in the same texts
+    found = substring.pairs_of(spark.createDataFrame(met, substring.MEETINGS).coalesce(1).sortWithinPartitions("sigs", "body", "doc_id", "th"))
+    own = found.filter("a_doc = b_doc").groupBy("sigs").agg(F.countDistinct("b_doc").alias("n"), F.min(F.shiftright("low", 32)).alias("low"), F.max(F.shiftright("high", 32)).alias("high"))
+    assert sorted((r["n"], r["low"], r["high"]) for r in own.collect()) == [(40, 3, 90), (40, 5000, 5060)]
+
+
+def test_parts_of_a_long_list_name_what_the_whole_does():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    one, two = (rng.integers(1, 1 << 60, 70).astype(np.uint64) for _ in range(2))
+    tokens = []
+    for k in range(60):
+        x = np.concatenate([one, two] if k % 2 else [two, rng.integers(1, 1 << 60, 20).astype(np.uint64)])
+        x[rng.integers(0, len(x), 4)] = rng.integers(1, 1 << 60, 4)
+        tokens.append(x)
+    tokens += [np.concatenate([one[:9], rng.integers(1, 1 << 60, 60).astype(np.uint64)]) for _ in range(30)]  # around a phrase
+    alive = substring.with_partners([np.unique(t) for t in tokens], 37)[0]
+    assert alive.tolist() == [k < 60 for k in range(90)]
+    named = lambda *part: {(a, b) for x, y in substring.long_list(tokens, 46, 0.8, *part) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    assert named() == named(0, 3) | named(1, 3) | named(2, 3) and len(named()) >= 59
