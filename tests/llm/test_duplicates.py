@@ -434,3 +434,11 @@ def test_parts_of_a_long_list_name_what_the_whole_does():
     assert alive.tolist() == [k < 60 for k in range(90)]
     named = lambda *part: {(a, b) for x, y in substring.long_list(tokens, 46, 0.8, *part) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
     assert named() == named(0, 3) | named(1, 3) | named(2, 3) and len(named()) >= 59
+
+
+def test_tables_of_the_join_leave_no_shuffle_files(spark, monkeypatch):
+    name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before, write = spark.conf.get(name, "false"), jaccard_join.Scratch.__call__
+    monkeypatch.setattr(jaccard_join.Scratch, "__call__", lambda *x: seen.append(spark.conf.get(name, "false")) or write(*x))
+    assert jaccard_join.similarity_classes(frame(spark, [(1, "a b c d e"), (2, "a b c d e")])).count() == 2
+    assert set(seen) == {"true"} and spark.conf.get(name, "false") == before
