@@ -268,3 +268,17 @@ def test_near_duplicates_broadcast_no_exploded_keys(spark):
     want = {(first[h], k, 0) for k, h in rows if first[h] != k} | {(a, b, (x ^ y).bit_count()) for x, a in first.items() for y, b in first.items() if a < b and (x ^ y).bit_count() <= 3}
     assert sorted(map(tuple, out.collect())) == sorted(want) and want
     assert "BroadcastHashJoin" not in plan_of(out)
+
+
+def test_candidates_meet_by_name_whatever_the_aliases(spark, monkeypatch):
+    """400 rows of 8 names, an alias a row: 8 names meet, not 400 rows, and no other way is asked where 7 rows are similar."""
+    rows = [(k, f"red ring {k % 8}", "org", [f"alias {k}"]) for k in range(400)]
+    df = spark.createDataFrame(rows, CATALOG)
+    met, real = [], entities.candidates_by_trigram
+    monkeypatch.setattr(entities, "candidates_by_trigram", lambda q, c, *x: (met.append((q.count(), c.count())), real(q, c, *x))[1])
+    monkeypatch.setattr(entities, "rows_by_alias", None)
+    got = {}
+    for r in entities.candidates(df.filter("id % 10 = 0"), df, most=7).collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: [k % 8 + 8 * i for i in range(7)] for k in range(0, 400, 10)}
+    assert met == [(4, 8)]
