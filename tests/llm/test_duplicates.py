@@ -436,6 +436,57 @@ def test_parts_of_a_long_list_name_what_the_whole_does():
     assert named() == named(0, 3) | named(1, 3) | named(2, 3) and len(named()) >= 59
 
 
+def test_copies_with_too_many_other_words_are_not_compared(monkeypatch):
+    """Passages with a token left over are only where aligned_cover() says, also with words put in or out and repeats; and copies
+    of which 85 of 100 tokens match, spread evenly, are left alone though one text's tokens could be few enough."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    new = lambda n: rng.integers(1, 1 << 60, n).astype(np.uint64)
+    asked, found = 0, 0
+    for k in range(400):
+        a = new(140)
+        if k % 3 == 0:
+            a[rng.integers(0, 140, 4)] = a[7]
+        b = a.copy()
+        changed = rng.choice(140, rng.integers(5, 35), replace=False)
+        b[changed] = new(len(changed))
+        if k % 4 == 0:
+            b = np.delete(np.insert(b, rng.integers(0, 140, 2), new(2)), rng.integers(0, 130, rng.integers(0, 6)))
+        order = np.argsort(a, kind="stable")
+        at = np.minimum(np.searchsorted(a[order], b), 139)
+        match, off = a[order][at] == b, order[at] - np.arange(len(b))
+        left = np.zeros(len(b), bool)
+        left[rng.integers(0, len(b), 3)] = True
+        repeats = 140 - len(np.unique(a)) + len(b) - len(np.unique(b))
+        may = substring.aligned_cover(match, off, substring.may_cover(match, 46, 0.8), left, repeats, 46, 0.8)
+        reported = any(left[s:e].any() for s, e, *_ in substring.passages(a, b, 0, len(b), 46, 0.8))
+        assert may or not reported
+        asked, found = asked + may, found + reported
+    assert 20 < found <= asked < 360
+    base = new(100)
+    copies = []
+    for k in range(20):
+        copies.append(base.copy())
+        copies[-1][np.arange(k % 7, 100, 7)] = new(len(range(k % 7, 100, 7)))
+    calls, real = [], substring.passages
+    monkeypatch.setattr(substring, "passages", lambda *x: calls.append(1) or real(*x))
+    for b in range(1, 7):  # each with those before: 6 of 7 tokens are its own and the other has none more
+        list(substring.long_list([copies[0], copies[b]], 46, 0.8))
+    assert len(calls) == 0 and not any(real(copies[0], copies[b], 0, 100, 46, 0.8) for b in range(1, 7))
+
+
+def test_parts_of_a_long_list_are_bounded(spark, monkeypatch):
+    """Each part has all rows of its list, so their number must not grow with the square of a group of copies."""
+    monkeypatch.setattr(substring, "PART", 2)
+    rng = random.Random(3)
+    base = prose(rng, 90, 5000)
+    rows = [(7, k, 10 * k, 0, 0, f"{base} own{k}".encode()) for k in range(60)]
+    members = spark.createDataFrame(rows, "sigs bigint, doc_id bigint, th bigint, low bigint, high bigint, text binary").coalesce(1)
+    dealt = substring.dealt_stretches(members, 46, 0.8)
+    assert dealt.count() == 60 * substring.PARTS and {r["parts"] for r in dealt.select("parts").distinct().collect()} == {substring.PARTS}
+
+
 def test_tables_of_the_join_leave_no_shuffle_files(spark, monkeypatch):
     name, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
     before, write = spark.conf.get(name, "false"), jaccard_join.Scratch.__call__
